@@ -7,9 +7,9 @@
    that many texts share brings nobody together. A set near a band's end also joins the next band's groups.
 3. Every group links its smallest node with each other one (a star, linear in the group). A bitmap of about
    four bits a shingle bounds each overlap from above; what passes is settled by exact array intersection.
-4. Groups that still hold two components are cut into tiles of nodes, and bitmaps of tile pairs are compared
-   across components; passing pairs are settled exactly again. Then every linking pair has been settled or
-   lies within one component, so components are exact.
+4. Groups that still hold two components are joined to families, whose nodes are cut into tiles by size; bitmaps
+   of tile pairs are compared across components, and what passes is settled in the tile. Then every linking pair
+   has been settled or lies within one component, so components are exact.
 
 Defined cases: a null, empty or blank text has the empty set and links with nothing; a text with fewer words
 than a shingle is one shingle; repeated rows and ties get the same component; a null id takes the smallest id
@@ -24,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -253,42 +254,48 @@ def _settled(banding: Banding):
     return run
 
 
-def tile_pairs(rows: list[tuple], banding: Banding) -> list[tuple[int, int]]:
-    """Pairs of different components whose bitmaps allow a link. rows: (node, root, n, bits, tile side: 0 left, 1 right, 2 both)."""
+def tile_links(rows: list[tuple], banding: Banding) -> list[tuple[int, int]]:
+    """Links between different components, enough of them to join all that the tile pair can join.
+
+    rows: (node, root, n, bits, shingles, side), side 0 for the left tile, 1 for the right one, 2 for both at once.
+    """
     size = min(len(r[3]) for r in rows)
     bits = np.stack([folded(r[3], size) for r in rows])
-    node, root, n, side = (np.array([r[k] for r in rows]) for k in (0, 1, 2, 4))
+    n, side = np.array([r[2] for r in rows]), np.array([r[5] for r in rows])
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    number = {root: i for i, root in enumerate(dict.fromkeys(r[1] for r in rows))}
+    label = np.array([number[r[1]] for r in rows])
     out = []
     for i in np.flatnonzero(side != 1):
-        others = (root != root[i]) & ((side == 1) if side[i] == 0 else (np.arange(len(rows)) > i))
-        j = np.flatnonzero(others)
-        if len(j):
-            total = n[i] + n[j]
-            most = (total - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
-            good = j[(most >= banding.least_overlap(total)) & (np.minimum(n[i], n[j]) * banding.den >= np.maximum(n[i], n[j]) * banding.num)]
-            out += [(min(node[i], x), max(node[i], x)) for x in node[good]]
+        j = np.flatnonzero((label != label[i]) & ((side == 1) if side[i] == 0 else (np.arange(len(rows)) > i)))
+        if not len(j):
+            continue
+        total = n[i] + n[j]
+        most = (total - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
+        for k in j[(most >= banding.least_overlap(total)) & (np.minimum(n[i], n[j]) * banding.den >= np.maximum(n[i], n[j]) * banding.num)].tolist():
+            if label[k] != label[i] and overlap(sets[i], sets[k]) >= banding.least_overlap(int(n[i] + n[k])):
+                out.append((min(rows[i][0], rows[k][0]), max(rows[i][0], rows[k][0])))
+                label[label == label[k]] = label[i]
     return out
 
 
 def _tiled(banding: Banding):
-    """Runs over rows sorted by tile pair; what is seen again in the task is given once."""
+    """Runs over rows sorted by tile pair."""
 
     def run(batches):
-        key, rows, given = None, [], set()
+        key, rows = None, []
 
         def close():
-            fresh = [p for p in dict.fromkeys(tile_pairs(rows, banding)) if p not in given] if len({r[1] for r in rows}) > 1 else []
-            if len(given) < 2_000_000:
-                given.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in fresh], pa.int64()) for k in (0, 1)], ["a", "b"])
+            links = tile_links(rows, banding) if len({r[1] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("sign", "tile", "node", "root", "n", "bits", "side")]
-            for sign, tile, *row in zip(*cols, strict=True):
-                if (sign, tile) != key:
+            cols = [batch.column(c).to_pylist() for c in ("family", "p", "q", "node", "root", "n", "bits", "shingles", "side")]
+            for family, left, right, *row in zip(*cols, strict=True):
+                if (family, left, right) != key:
                     if rows:
                         yield close()
-                    key, rows = (sign, tile), []
+                    key, rows = (family, left, right), []
                 rows.append(tuple(row))
         if rows:
             yield close()
@@ -296,6 +303,31 @@ def _tiled(banding: Banding):
     return run
 
 
+def _across(open_nodes: DataFrame, arrays: DataFrame, banding: Banding) -> DataFrame:
+    """Links between components within each family of ``open_nodes (family, node, root)``.
+
+    A family's nodes are put in order, large components first and each by size, and cut into tiles. Tile pairs whose
+    sizes cannot link, or that hold the same one component, are left out; so a large component meets the rest only.
+    """
+    sized = open_nodes.join(arrays.select("node", "n"), "node")
+    mass = sized.groupBy("family", "root").agg(F.count("*").alias("mass"))
+    sized = sized.join(mass, ["family", "root"]).withColumn("own", F.when(F.col("mass") >= TILE, F.col("root")))
+    rank = F.row_number().over(W.partitionBy("family").orderBy(F.col("own").asc_nulls_last(), "n", "node")) - 1
+    placed = sized.withColumn("tile", F.floor(rank / TILE)).select("family", "tile", "node", "root", "n")
+    tiles = placed.groupBy("family", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("first"), F.max("root").alias("last"))
+    left = tiles.select("family", *(F.col(c).alias(f"l_{c}") for c in tiles.columns[1:]))
+    right = tiles.select("family", *(F.col(c).alias(f"r_{c}") for c in tiles.columns[1:]))
+    fit = (F.col("l_tile") <= F.col("r_tile")) & (F.col("r_hi") * banding.den >= F.col("l_lo") * banding.num) & (F.col("l_hi") * banding.den >= F.col("r_lo") * banding.num)
+    one = (F.col("l_first") == F.col("l_last")) & (F.col("r_first") == F.col("r_last")) & (F.col("l_first") == F.col("r_first"))
+    pairs = left.join(right, "family").where(fit & ~one).select("family", F.col("l_tile").alias("p"), F.col("r_tile").alias("q"))
+    sides = pairs.where("p <> q").select("family", "p", "q", F.col("p").alias("tile"), F.lit(0).alias("side"))
+    sides = sides.union(pairs.where("p <> q").select("family", "p", "q", F.col("q").alias("tile"), F.lit(1).alias("side")))
+    sides = sides.union(pairs.where("p = q").select("family", "p", "q", F.col("p").alias("tile"), F.lit(2).alias("side")))
+    rows = placed.drop("n").join(sides, ["family", "tile"]).join(arrays, "node")
+    rows = rows.select("family", "p", "q", "node", "root", "n", "bits", "shingles", "side").repartition("family", "p", "q")
+    return rows.sortWithinPartitions("family", "p", "q", "node").mapInArrow(_tiled(banding), "a long, b long")
+
+
 def _bounded_ids(ids: DataFrame, count: int) -> DataFrame:
     return F.broadcast(ids) if count <= MOST_BROADCAST else ids
 
@@ -347,20 +379,13 @@ def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch
     links = settle(near)
     roots = components(links, scratch)
     at = met.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
-    open_ = at.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("sign", "size")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int") % F.col("tiles")
-    rows = at.join(open_, "sign").withColumn("tiles", tiles).withColumn("mine", mine)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    side: Column = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("sign", (low.cast("long") * (1 << 31) + high).alias("tile"), "node", "root", side.alias("side"))
-    rows = rows.join(arrays.select("node", "n", "bits"), "node").select("sign", "tile", "node", "root", "n", "bits", "side")
-    across = rows.repartition(F.col("sign"), F.col("tile")).sortWithinPartitions("sign", "tile", "node").mapInArrow(_tiled(banding), "a long, b long")
-    across = scratch.table(across.distinct().join(star, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        links = links.union(settle(across))
-        roots = components(links, scratch)
+    open_ = at.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("hub")).where("lo <> hi").select("sign", "hub")
+    met_open = scratch.table(at.join(open_, "sign").select("node", "root", "hub").distinct(), "open")
+    if met_open.limit(1).count():
+        families = components(met_open.select(F.col("hub").alias("a"), F.col("node").alias("b")), scratch).select("node", F.col("root").alias("family"))
+        across = scratch.table(_across(met_open.select("node", "root").distinct().join(families, "node"), arrays, banding), "across")
+        if across.limit(1).count():
+            roots = components(links.union(across), scratch)
     return roots
 
 
