@@ -5,10 +5,12 @@
    the band's upper size. The hash range is cut into more than D parts, so at least one part of two linking
    sets is equal: a signature per (band, part) brings all linking sets together in some group, and a passage
    that many texts share brings nobody together. A set near a band's end also joins the next band's groups.
-3. Every group links its smallest node with each other one (a star, linear in the group). A bitmap of about
-   four bits a shingle bounds each overlap from above; what passes is settled by exact array intersection.
+3. Every group pairs its smallest node with each other one (a star, linear in the group). A bitmap of about
+   four bits a shingle bounds each overlap from above; of what passes, each node's likeliest pair is settled by
+   exact array intersection.
 4. Groups that still hold two components are joined to families, whose nodes are cut into tiles by size; bitmaps
-   of tile pairs are compared across components, and what passes is settled in the tile. Then every linking pair
+   of tile pairs are compared across components, and nodes that pass are tiled again with their arrays, settling
+   every pair that matters in the tile. Then every linking pair
    has been settled or lies within one component, so components are exact.
 
 Defined cases: a null, empty or blank text has the empty set and links with nothing; a text with fewer words
@@ -212,8 +214,8 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array(s[new]), pa.array(d[new])], ["sign", "node"])
 
 
-def _arrays(n: int, seed: int):
-    """Shingles and bitmap of each wanted node, once a task."""
+def _arrays(n: int, seed: int, whole: bool):
+    """Bitmap of each wanted node, once a task, and its shingles too if ``whole``."""
 
     def run(batches):
         seen: set[int] = set()
@@ -226,17 +228,24 @@ def _arrays(n: int, seed: int):
                     rows.append(i)
             if rows:
                 sets = [values[at[i] : at[i + 1]] for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "bits", "shingles"])
+                more = [pa.array([s.tobytes() for s in sets], pa.binary())] if whole else []
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), *more], ["node", "n", "bits", "shingles"][: 3 + whole])
 
     return run
 
 
 def _bounded(banding: Banding):
+    """Pairs whose bitmaps allow a link, with the bound of their similarity."""
+
     def run(batches):
         for batch in batches:
-            n_a, n_b, bits_a, bits_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
-            keep = [most_overlap(x, y, p + q) >= banding.least_overlap(p + q) for p, q, x, y in zip(n_a, n_b, bits_a, bits_b, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b")), strict=True)
+            kept = []
+            for a, b, n_a, n_b, bits_a, bits_b in rows:
+                most = most_overlap(bits_a, bits_b, n_a + n_b)
+                if most >= banding.least_overlap(n_a + n_b):
+                    kept.append((a, b, most / max(n_a + n_b - most, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "like"])
 
     return run
 
@@ -254,44 +263,57 @@ def _settled(banding: Banding):
     return run
 
 
-def tile_links(rows: list[tuple], banding: Banding) -> list[tuple[int, int]]:
-    """Links between different components, enough of them to join all that the tile pair can join.
+def tile_candidates(rows: list[tuple], banding: Banding):
+    """(i, places j) for each row of a tile pair that may link with rows of other components, by bitmaps.
 
-    rows: (node, root, n, bits, shingles, side), side 0 for the left tile, 1 for the right one, 2 for both at once.
+    rows: (node, root, n, bits, ..., side), side 0 for the left tile, 1 for the right one, 2 for both at once.
     """
     size = min(len(r[3]) for r in rows)
     bits = np.stack([folded(r[3], size) for r in rows])
-    n, side = np.array([r[2] for r in rows]), np.array([r[5] for r in rows])
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    n, side = np.array([r[2] for r in rows]), np.array([r[-1] for r in rows])
     number = {root: i for i, root in enumerate(dict.fromkeys(r[1] for r in rows))}
     label = np.array([number[r[1]] for r in rows])
-    out = []
     for i in np.flatnonzero(side != 1):
         j = np.flatnonzero((label != label[i]) & ((side == 1) if side[i] == 0 else (np.arange(len(rows)) > i)))
-        if not len(j):
-            continue
-        total = n[i] + n[j]
-        most = (total - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
-        for k in j[(most >= banding.least_overlap(total)) & (np.minimum(n[i], n[j]) * banding.den >= np.maximum(n[i], n[j]) * banding.num)].tolist():
-            if label[k] != label[i] and overlap(sets[i], sets[k]) >= banding.least_overlap(int(n[i] + n[k])):
+        if len(j):
+            total = n[i] + n[j]
+            most = (total - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
+            j = j[(most >= banding.least_overlap(total)) & (np.minimum(n[i], n[j]) * banding.den >= np.maximum(n[i], n[j]) * banding.num)]
+            if len(j):
+                yield int(i), j, label
+
+
+def tile_links(rows: list[tuple], banding: Banding) -> list[tuple[int, int]]:
+    """Links between different components, enough of them to join all that the tile pair can join. rows[4]: shingles."""
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    out = []
+    for i, places, label in tile_candidates(rows, banding):
+        for k in places.tolist():
+            if label[k] != label[i] and overlap(sets[i], sets[k]) >= banding.least_overlap(rows[i][2] + rows[k][2]):
                 out.append((min(rows[i][0], rows[k][0]), max(rows[i][0], rows[k][0])))
                 label[label == label[k]] = label[i]
     return out
 
 
-def _tiled(banding: Banding):
-    """Runs over rows sorted by tile pair."""
+def _tiled(banding: Banding, whole: bool):
+    """Runs over rows sorted by tile pair. With shingles: links (a, b); with bitmaps only: rows (a, a) for nodes that may link."""
+    names = ["family", "p", "q", "node", "root", "n", "bits", *(["shingles"] if whole else []), "side"]
 
     def run(batches):
         key, rows = None, []
 
         def close():
-            links = tile_links(rows, banding) if len({r[1] for r in rows}) > 1 else []
+            links = []
+            if len({r[1] for r in rows}) > 1:
+                if whole:
+                    links = tile_links(rows, banding)
+                else:
+                    near = {x for i, places, _ in tile_candidates(rows, banding) for x in (i, *places.tolist())}
+                    links = [(rows[i][0], rows[i][0]) for i in sorted(near)]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("family", "p", "q", "node", "root", "n", "bits", "shingles", "side")]
-            for family, left, right, *row in zip(*cols, strict=True):
+            for family, left, right, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (family, left, right) != key:
                     if rows:
                         yield close()
@@ -303,13 +325,15 @@ def _tiled(banding: Banding):
     return run
 
 
-def _across(open_nodes: DataFrame, arrays: DataFrame, banding: Banding) -> DataFrame:
-    """Links between components within each family of ``open_nodes (family, node, root)``.
+def _across(open_nodes: DataFrame, sets: DataFrame, banding: Banding) -> DataFrame:
+    """Links between components within each family of ``open_nodes (family, node, root)``, or with bitmaps only in ``sets``
+    the nodes that may have some.
 
     A family's nodes are put in order, large components first and each by size, and cut into tiles. Tile pairs whose
     sizes cannot link, or that hold the same one component, are left out; so a large component meets the rest only.
     """
-    sized = open_nodes.join(arrays.select("node", "n"), "node")
+    whole = "shingles" in sets.columns
+    sized = open_nodes.join(sets.select("node", "n"), "node")
     mass = sized.groupBy("family", "root").agg(F.count("*").alias("mass"))
     sized = sized.join(mass, ["family", "root"]).withColumn("own", F.when(F.col("mass") >= TILE, F.col("root")))
     rank = F.row_number().over(W.partitionBy("family").orderBy(F.col("own").asc_nulls_last(), "n", "node")) - 1
@@ -320,12 +344,12 @@ def _across(open_nodes: DataFrame, arrays: DataFrame, banding: Banding) -> DataF
     fit = (F.col("l_tile") <= F.col("r_tile")) & (F.col("r_hi") * banding.den >= F.col("l_lo") * banding.num) & (F.col("l_hi") * banding.den >= F.col("r_lo") * banding.num)
     one = (F.col("l_first") == F.col("l_last")) & (F.col("r_first") == F.col("r_last")) & (F.col("l_first") == F.col("r_first"))
     pairs = left.join(right, "family").where(fit & ~one).select("family", F.col("l_tile").alias("p"), F.col("r_tile").alias("q"))
-    sides = pairs.where("p <> q").select("family", "p", "q", F.col("p").alias("tile"), F.lit(0).alias("side"))
-    sides = sides.union(pairs.where("p <> q").select("family", "p", "q", F.col("q").alias("tile"), F.lit(1).alias("side")))
-    sides = sides.union(pairs.where("p = q").select("family", "p", "q", F.col("p").alias("tile"), F.lit(2).alias("side")))
-    rows = placed.drop("n").join(sides, ["family", "tile"]).join(arrays, "node")
-    rows = rows.select("family", "p", "q", "node", "root", "n", "bits", "shingles", "side").repartition("family", "p", "q")
-    return rows.sortWithinPartitions("family", "p", "q", "node").mapInArrow(_tiled(banding), "a long, b long")
+    both = F.array(F.struct(F.col("p").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("q").alias("tile"), F.lit(1).alias("side")))
+    sides = pairs.select("family", "p", "q", F.explode(F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("tile"), F.lit(2).alias("side")))).otherwise(both)).alias("s"))
+    sides = sides.select("family", "p", "q", F.col("s.tile").alias("tile"), F.col("s.side").alias("side"))
+    rows = placed.drop("n").join(sides, ["family", "tile"]).join(sets, "node")
+    rows = rows.select("family", "p", "q", "node", "root", "n", "bits", *(["shingles"] if whole else []), "side").repartition("family", "p", "q")
+    return rows.sortWithinPartitions("family", "p", "q").mapInArrow(_tiled(banding, whole), "a long, b long")
 
 
 def _bounded_ids(ids: DataFrame, count: int) -> DataFrame:
@@ -362,29 +386,38 @@ def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch
     groups = met.groupBy("sign").agg(F.min("node").alias("hub"), F.count("*").alias("size"))
     star = met.join(groups, "sign").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     star = scratch.table(star, "star")
-    nodes = scratch.table(star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "least"), "node"), "nodes")
-    found = base.select("text", F.col("c0")).join(_bounded_ids(nodes, nodes.count()), F.col("c0").eqNullSafe(F.col("least"))).select("text", "node")
-    arrays = scratch.table(found.mapInArrow(_arrays(n, seed), "node long, n long, bits binary, shingles binary"), "arrays")
-    if arrays.select("node").distinct().count() != arrays.count():
-        arrays = scratch.table(arrays.dropDuplicates(["node"]), "arrays")
-
-    def settle(pairs: DataFrame) -> DataFrame:
-        x = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        y = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return scratch.table(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_settled(banding), "a long, b long"), "links")
-
-    a = arrays.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    b = arrays.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    near = star.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(banding), "a long, b long")
-    links = settle(near)
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def found(nodes: DataFrame, whole: bool) -> DataFrame:
+        """Bitmaps, and shingles if asked for, of the nodes, from the texts of the smallest ids that have them."""
+        wanted = scratch.table(nodes.join(classes.select("node", "least"), "node"), "wanted")
+        texts = base.select("text", "c0").join(_bounded_ids(wanted, wanted.count()), F.col("c0").eqNullSafe(F.col("least"))).select("text", "node")
+        out = scratch.table(texts.mapInArrow(_arrays(n, seed, whole), "node long, n long, bits binary" + ", shingles binary" * whole), "sets")
+        if out.select("node").distinct().count() != out.count():
+            out = scratch.table(out.dropDuplicates(["node"]), "sets")
+        return out
+
+    bits = found(ends(star), False)
+    a = bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    b = bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    near = star.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(banding), "a long, b long, like double")
+    # a node's likeliest hub first; whatever other hubs would join is found among the open groups
+    near = scratch.table(near.groupBy("b").agg(F.max(F.struct("like", F.col("a"))).alias("best")).select(F.col("best.a").alias("a"), "b"), "near")
+    arrays = found(ends(near), True)
+    x = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    links = scratch.table(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_settled(banding), "a long, b long"), "links")
+    scratch.drop(arrays)
     roots = components(links, scratch)
     at = met.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
     open_ = at.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("hub")).where("lo <> hi").select("sign", "hub")
     met_open = scratch.table(at.join(open_, "sign").select("node", "root", "hub").distinct(), "open")
     if met_open.limit(1).count():
         families = components(met_open.select(F.col("hub").alias("a"), F.col("node").alias("b")), scratch).select("node", F.col("root").alias("family"))
-        across = scratch.table(_across(met_open.select("node", "root").distinct().join(families, "node"), arrays, banding), "across")
-        if across.limit(1).count():
+        members = scratch.table(met_open.select("node", "root").distinct().join(families, "node"), "members")
+        may = scratch.table(_across(members, bits, banding).select(F.col("a").alias("node")).distinct(), "may")
+        if may.limit(1).count():
+            across = scratch.table(_across(members.join(may, "node", "left_semi"), found(may, True), banding), "across")
             roots = components(links.union(across), scratch)
     return roots
 
