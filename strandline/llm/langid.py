@@ -33,7 +33,8 @@ MOST_LANGUAGES, SAMPLE_TEXTS, SAMPLE_CHARS, TRAIN_CHARS = 64, 120, 600, 30_000
 ALPHABET = 62
 LANE = 1024
 UNKNOWN = "und"
-_MISS = 1 << 30
+#: Marks one phrase ended in a transition; twice it, two: the phrase so far, and a character that the sample lacks.
+_MISS = 1 << 29
 
 
 @functools.cache
@@ -56,7 +57,7 @@ def points(text: str) -> np.ndarray:
 
 def transitions(sample: list[np.ndarray], width: int) -> np.ndarray:
     """Suffix automaton of the class sequences as a table (state, class) -> state; a miss is the state after the
-    start, marked. A class that the sample lacks leads back to the start."""
+    start, marked with the phrases ended. A class that the sample lacks leads back to the start."""
     nxt, link, length = [{}], [-1], [0]
 
     def clone(p, w, q):
@@ -88,10 +89,11 @@ def transitions(sample: list[np.ndarray], width: int) -> np.ndarray:
                 q = nxt[p][w]
                 link[cur] = q if length[q] == length[p] + 1 else clone(p, w, q)
             last = cur
-    start = np.full(width, _MISS, np.int32)
+    start = np.full(width, 2 * _MISS, np.int32)
     for w, q in nxt[0].items():
         start[w] = q | _MISS
     table = np.tile(start, (len(nxt), 1))
+    table[0] = _MISS
     for s, row in enumerate(nxt):
         if row:
             table[s, list(row.keys())] = list(row.values())
@@ -142,8 +144,7 @@ class Model:
             parts, starts, base = [], [], 0
             for lang in self.langs:
                 t = transitions(self.samples[lang], self.width)
-                miss = t & _MISS
-                parts.append((((t & ~_MISS) + base) * self.width) | miss)
+                parts.append((((t & (_MISS - 1)) + base) * self.width) | (t & ~(_MISS - 1)))
                 starts.append(base * self.width)
                 base += len(t)
             self._table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32), np.array(starts, np.int32)
@@ -168,7 +169,7 @@ class Model:
         for step in range(n[0]):
             w = live[step]
             v = table[state[:, :w] + coded[begin[:w] + step]]
-            count[:, :w] += v >> 30
+            count[:, :w] += v >> 29
             state[:, :w] = v & (_MISS - 1)
         count += state != starts[:, None]  # the last, unfinished phrase
         for i in range(len(starts)):
