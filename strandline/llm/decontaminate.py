@@ -229,9 +229,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     All columns of ``docs`` stay; an ``n_chars`` column is set to the new text's length where the text changed.
     """
-    out = matches(docs, benchmark, id_col, text_col, item_col, item_text_col, tuple(c for c in docs.columns if c != text_col), window)
+    other = {c: f"k{i}" for i, c in enumerate(docs.columns) if c != text_col}
+    plain = docs.select(F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in other.items()))
+    out = matches(plain, benchmark, id_col, "text", item_col, item_text_col, tuple(other.values()), window)
     out = out.where(F.col("n_hit") <= F.col("n_words") * most_coverage)
-    names = [c for c in out.columns if c not in ("n_words", "items", "n_hit")]
+    names = [*other.values(), "text", "spans"]
 
     def cut(batches):
         for batch in batches:
@@ -240,7 +242,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
             yield batch.set_column(batch.schema.get_field_index("text"), "text", fresh)
 
     types = dict(out.dtypes)
-    out = out.select(*names).mapInArrow(cut, ", ".join(f"`{c}` {types[c]}" for c in names))
-    if "n_chars" in docs.columns and text_col != "n_chars":
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.withColumnRenamed("text", text_col).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = out.select(*names).mapInArrow(cut, ", ".join(f"{c} {types[c]}" for c in names))
+    if "n_chars" in other:
+        k = other["n_chars"]
+        out = out.withColumn(k, F.when(F.size("spans") > 0, F.length("text").cast(types[k])).otherwise(F.col(k)))
+    return out.select(*(F.col("text" if c == text_col else other[c]).alias(c) for c in docs.columns))
