@@ -27,7 +27,7 @@ from . import kernels as K
 from .scratch import Scratch
 
 SAMPLE = 16_000
-TERMS, LEAST_TEXTS, LEAST_ODDS = 3000, 5, 2.0
+TERMS, LEAST_TEXTS, LEAST_ODDS = 3000, 3, 2.0
 STEMS = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 #: Pronouns of the second person in a few languages (fixed list).
