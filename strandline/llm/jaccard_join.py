@@ -37,7 +37,7 @@ from .scratch import Scratch
 #: Ratio of a band's upper to its lower size.
 BAND = 1.5
 #: Signatures that a task gathers before it hands them on.
-FLUSH = 1_500_000
+FLUSH = 600_000
 #: From so many equal signatures in one task on, one of them travels and the others are passed by.
 HOT = 64
 #: Nodes of a tile.

@@ -84,8 +84,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` text bytes (one row at least), so that memory stays bounded."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` text bytes (one row at least), so that memory stays bounded; what a slice has
+    used goes back before the next one."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -93,6 +94,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(sizes)]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
