@@ -325,7 +325,18 @@ def _tiled(banding: Banding, whole: bool):
     return run
 
 
-def _across(open_nodes: DataFrame, sets: DataFrame, banding: Banding) -> DataFrame:
+def _ranked(sized: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rank`` from 0 of each row in its family by (own, n, node). Rows are cut into ranges, so a large family is ranked
+    by many tasks: a row's rank is its place in its range and the family's rows in earlier ranges."""
+    order = [F.col("own").asc_nulls_last(), F.col("n"), F.col("node")]
+    ranged = scratch.table(sized.repartitionByRange(F.col("family"), *order).withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("family", "part").agg(F.count("*").alias("rows"))
+    before = counts.select("family", "part", (F.sum("rows").over(W.partitionBy("family").orderBy("part")) - F.col("rows")).alias("before"))
+    place = F.row_number().over(W.partitionBy("family", "part").orderBy(*order)) - 1
+    return ranged.withColumn("place", place).join(before, ["family", "part"]).withColumn("rank", F.col("place") + F.col("before"))
+
+
+def _across(open_nodes: DataFrame, sets: DataFrame, banding: Banding, scratch: Scratch) -> DataFrame:
     """Links between components within each family of ``open_nodes (family, node, root)``, or with bitmaps only in ``sets``
     the nodes that may have some.
 
@@ -336,8 +347,7 @@ def _across(open_nodes: DataFrame, sets: DataFrame, banding: Banding) -> DataFra
     sized = open_nodes.join(sets.select("node", "n"), "node")
     mass = sized.groupBy("family", "root").agg(F.count("*").alias("mass"))
     sized = sized.join(mass, ["family", "root"]).withColumn("own", F.when(F.col("mass") >= TILE, F.col("root")))
-    rank = F.row_number().over(W.partitionBy("family").orderBy(F.col("own").asc_nulls_last(), "n", "node")) - 1
-    placed = sized.withColumn("tile", F.floor(rank / TILE)).select("family", "tile", "node", "root", "n")
+    placed = _ranked(sized, scratch).withColumn("tile", F.floor(F.col("rank") / TILE)).select("family", "tile", "node", "root", "n")
     tiles = placed.groupBy("family", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("first"), F.max("root").alias("last"))
     left = tiles.select("family", *(F.col(c).alias(f"l_{c}") for c in tiles.columns[1:]))
     right = tiles.select("family", *(F.col(c).alias(f"r_{c}") for c in tiles.columns[1:]))
@@ -415,9 +425,9 @@ def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch
     if met_open.limit(1).count():
         families = components(met_open.select(F.col("hub").alias("a"), F.col("node").alias("b")), scratch).select("node", F.col("root").alias("family"))
         members = scratch.table(met_open.select("node", "root").distinct().join(families, "node"), "members")
-        may = scratch.table(_across(members, bits, banding).select(F.col("a").alias("node")).distinct(), "may")
+        may = scratch.table(_across(members, bits, banding, scratch).select(F.col("a").alias("node")).distinct(), "may")
         if may.limit(1).count():
-            across = scratch.table(_across(members.join(may, "node", "left_semi"), found(may, True), banding), "across")
+            across = scratch.table(_across(members.join(may, "node", "left_semi"), found(may, True), banding, scratch), "across")
             roots = components(links.union(across), scratch)
     return roots
 
