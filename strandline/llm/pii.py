@@ -4,12 +4,12 @@ Base spans (email, ip, card, phone) come from regular expressions over whole tex
 the matches, ``split`` the pieces between them, and running lengths their places in code points. The patterns are
 written so that no match is tried twice from within one run of characters, which keeps long texts linear.
 
-Method: a value found in at least ``support`` different texts is a protected entity. For a term t and an entity e,
+Method: every value found is a protected entity, however rare. For a term t and an entity e,
 disclosure(t; e) = log(N c(t,e) / (d(t) d(e))) / log(N / d(e)), the pointwise mutual information over the
-entity's whole information, where d counts different texts, c texts with both, and N all texts. Terms with at least
-``support`` common texts and a disclosure of ``threshold`` or more are spans of kind ``term`` in every text that
-holds the entity. Counts cover the whole corpus: candidate terms come from the texts that hold entities, and d(t)
-from all texts, joined on the term. DataFrame operations only.
+entity's whole information, where d counts different texts, c texts with both, and N all texts. Terms with a
+disclosure of ``threshold`` or more are spans of kind ``term`` in every text that holds the entity; for a value of
+one text only, these are the words that hardly any other text has. Counts cover the whole corpus: candidate terms
+come from the texts that hold entities, and d(t) from all texts, joined on the term. DataFrame operations only.
 
 Defined cases: a null or empty text has no spans; copies count once in the statistics and are marked each;
 overlapping spans of different kinds all stay, and are replaced as one by the first's tag; an empty table gives
@@ -34,7 +34,7 @@ PATTERNS = {
 #: Cheap tests without which a pattern cannot match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
-SUPPORT, THRESHOLD = 3, 0.95
+THRESHOLD = 0.95
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
@@ -63,15 +63,17 @@ def _valid(kind: str, v: Column) -> Column:
 def _places(found: Column, pieces: Column, kind: int, keep) -> Column:
     """Spans of the matches that ``keep`` accepts, from matches and the pieces around them."""
 
-    def step(acc, k):
-        value = found[k]
-        start = acc["at"] + F.length(pieces[k])
+    def step(acc, x):
+        value = x["value"]
+        start = acc["at"] + F.length(x["piece"])
         stop = start + F.length(value)
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), value.alias("value"))
-        return F.struct(stop.alias("at"), F.when(keep(value), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(stop.alias("at"), F.when(value.isNotNull() & keep(value), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+    # zipped first: inside a step, the expressions of both arrays would be evaluated anew; the piece after the last match has no value
+    both = F.zip_with(found, pieces, lambda v, p: F.struct(v.alias("value"), p.alias("piece")))
+    return F.aggregate(both, start, step, lambda acc: acc["out"])
 
 
 def with_base_spans(docs: DataFrame, text: str) -> DataFrame:
@@ -103,28 +105,37 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(_lowered(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")), lambda w: w != "")
 
 
-def _disclosing(texts: DataFrame, found: DataFrame, scratch: Scratch, support: int, threshold: float) -> DataFrame | None:
+def _disclosing(texts: DataFrame, found: DataFrame, scratch: Scratch, threshold: float) -> DataFrame | None:
     """(key, terms) of the texts that hold an entity with disclosing terms. ``texts``: key, text of all documents;
     ``found``: the same and base spans of documents that have some."""
     values = found.select("key", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).distinct()
-    entities = values.groupBy("entity").agg(F.count("*").alias("de")).where(F.col("de") >= support)
-    held = scratch.table(values.join(entities, "entity"), "held")
+    entities = values.groupBy("entity").agg(F.count("*").alias("de"))
+    # values of one text only have c = d(e) = 1 with each of its words, so they need neither pairs nor more than one row a text
+    held = scratch.table(values.join(entities, "entity").select(F.unhex("key").alias("key"), F.when(F.col("de") > 1, F.col("entity")).alias("entity"), "de").distinct(), "held")
     if not held.limit(1).count():
         return None
-    holders = found.join(held.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     inside = F.array_distinct(F.flatten(F.transform("base", lambda s: _terms(s["value"]))))
-    words = holders.select("key", F.explode(F.array_except(_terms(F.col("text")), inside)).alias("term"))
-    pairs = held.join(words, "key").groupBy("entity", "term").agg(F.first("de").alias("de"), F.count("*").alias("c")).where(F.col("c") >= support)
-    pairs = scratch.table(pairs, "pairs")
-    terms = scratch.table(pairs.select("term").distinct(), "terms")
-    everywhere = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
-    dt = everywhere.groupBy("term", "key").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("dt"))
-    total = texts.groupBy("key").agg(F.lit(1).alias("one")).agg(F.count("*").alias("N"))
-    known = pairs.join(dt, "term").crossJoin(F.broadcast(total))  # one row
-    pmi = F.log(F.col("N") * F.col("c") / (F.col("dt") * F.col("de")))
-    strong = known.where((F.col("N") > F.col("de")) & (pmi >= threshold * F.log(F.col("N") / F.col("de")))).select("entity", "term")
-    by_entity = strong.groupBy("entity").agg(F.collect_set("term").alias("terms"))  # at most the words that 'support' texts share
-    return held.join(by_entity, "entity").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    holders = found.dropDuplicates(["key"])
+    words = scratch.table(holders.select(F.unhex("key").alias("key"), F.explode(F.array_except(_terms(F.col("text")), inside)).alias("term")), "words")
+    # one of each text first: then its words are counted before the shuffle, without the keys
+    once = texts.dropDuplicates(["key"])
+    dt = once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("dt"))
+    dt = scratch.table(dt.join(words.select("term").distinct(), "term", "left_semi"), "dt")
+    total = texts.select("key").distinct().agg(F.count("*").alias("N"))
+
+    def strong(pairs: DataFrame) -> DataFrame:
+        pmi = F.log(F.col("N") * F.col("c") / (F.col("dt") * F.col("de")))
+        known = pairs.join(dt, "term").crossJoin(F.broadcast(total))  # one row
+        return known.where((F.col("N") > F.col("de")) & (pmi >= threshold * F.log(F.col("N") / F.col("de"))))
+
+    one = F.lit(1).cast("long")
+    single = words.join(held.where("entity IS NULL").select("key"), "key", "left_semi").withColumns({"de": one, "c": one})
+    places = held.where("entity IS NOT NULL").join(words, "key")
+    pairs = strong(places.groupBy("entity", "term").agg(F.first("de").alias("de"), F.count("*").alias("c")))
+    # joined back to the texts that hold both, so that a text's terms are words of its own
+    shared = places.select("key", "entity", "term").join(pairs.select("entity", "term"), ["entity", "term"])
+    out = strong(single).select("key", "term").unionByName(shared.select("key", "term"))
+    return out.groupBy("key").agg(F.collect_set("term").alias("terms")).withColumn("key", F.lower(F.hex("key")))
 
 
 def _term_spans(holders: DataFrame) -> DataFrame:
@@ -135,7 +146,7 @@ def _term_spans(holders: DataFrame) -> DataFrame:
     return out.select("key", free.alias("extra"))
 
 
-def _prepared(docs: DataFrame, text_col: str, carried: tuple[str, ...], scratch: Scratch, support: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+def _prepared(docs: DataFrame, text_col: str, carried: tuple[str, ...], scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame | None]:
     """(carried columns as c0, c1, ..., key and base of every document; key and term spans of the texts that have some)."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     df = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)), text.alias("text"))
@@ -144,7 +155,7 @@ def _prepared(docs: DataFrame, text_col: str, carried: tuple[str, ...], scratch:
     # texts without spans, most of them, are not written
     marked = scratch.table(marked.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base")
     found = marked.where("text IS NOT NULL").select("key", "text", "base")
-    terms = _disclosing(df.select("key", "text"), found, scratch, support, threshold)
+    terms = _disclosing(df.select("key", "text"), found, scratch, threshold)
     if terms is None:
         return marked.drop("text"), None
     holders = terms.join(found.dropDuplicates(["key"]), "key")
@@ -155,9 +166,9 @@ def _all_spans() -> Column:
     return F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
 
 
-def spans(docs: DataFrame, text_col: str = "text", carried: tuple[str, ...] = ("doc_id",), support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def spans(docs: DataFrame, text_col: str = "text", carried: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """``carried`` columns, ``base`` and ``spans`` (base and term spans, by start, then kind, then end) of every document."""
-    marked, extra = _prepared(docs, text_col, carried, Scratch(docs.sparkSession), support, threshold)
+    marked, extra = _prepared(docs, text_col, carried, Scratch(docs.sparkSession), threshold)
     out = marked.withColumn("extra", F.lit(None).cast(_SPAN)) if extra is None else marked.join(extra, "key", "left")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carried)), "key", "base", _all_spans().alias("spans"))
 
@@ -174,9 +185,9 @@ def replaced(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
 
 
-def sanitised(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def sanitised(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs``, with spans in ``text_col`` replaced; an ``n_chars`` column follows where a text changed."""
-    _, extra = _prepared(docs, text_col, (), Scratch(docs.sparkSession), support, threshold)
+    _, extra = _prepared(docs, text_col, (), Scratch(docs.sparkSession), threshold)
     text = F.col(f"`{text_col}`")
     plain = F.coalesce(text.cast("string"), F.lit(""))
     # base spans are found anew rather than joined, so that texts are not shuffled

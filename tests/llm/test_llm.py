@@ -149,6 +149,29 @@ def test_pii_terms_and_text(spark):
     assert pii.sanitised(df.where("false")).count() == 0
 
 
+def test_pii_terms_of_values_in_one_text(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r["text"] or "" for r in df.collect()}
+    held, count = collections.defaultdict(set), collections.Counter(w for t in texts for w in set(words(t, ALNUM)))
+    for t in texts:
+        for k, (kind, p) in enumerate(KINDS):
+            for m in re.finditer(p, t):
+                if valid(kind, m.group()):
+                    held[k, re.sub("[^0-9]", "", m.group()) if k >= 2 else m.group().translate(LOWER)].add(t)
+    assert held and max(map(len, held.values())) == 1  # nothing recurs: a floor on recurrence finds no term
+    holders = {t for ts in held.values() for t in ts}
+    n, marked = len(texts), 0
+    for r in pii.spans(df, carried=("doc_id", "text")).collect():
+        t = r["text"] or ""
+        base = [(s["start"], s["stop"]) for s in r["base"]]
+        inside = {w for a, z in base for w in words(t[a:z], ALNUM)}
+        strong = {w for w in words(t, ALNUM) if w not in inside and math.log(n / count[w]) / math.log(n) >= pii.THRESHOLD} if t in holders else set()
+        want = [m.span() for m in ALNUM.finditer(t) if m.group().translate(LOWER) in strong and not any(a < m.end() and m.start() < z for a, z in base)]
+        assert [(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == 4] == want
+        marked += len(want)
+    assert marked
+
+
 def test_bpe_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
