@@ -35,8 +35,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, and whether they decode to it again."""
-    return bpe.encoded(docs, kept=("doc_id", "lang", "source", "n_chars"))
+    """Ids of each text, the digest of what they decode to, and whether that is the text again."""
+    return bpe.round_trips(docs, kept=("doc_id", "lang", "source", "n_chars"))
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("tokens", tokens)]

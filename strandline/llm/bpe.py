@@ -123,6 +123,21 @@ def encoded(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), text_col: str
     return _per_task(docs, kept, text_col, "string", vocabulary, [("n_tokens", "long"), ("ids", "array<int>")], make)
 
 
+def round_trips(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``kept`` columns, ``n_tokens``, ``ids``, SHA-256 of the text decoded from the ids, and whether that is the text encoded."""
+
+    def make(codec, texts):
+        plain = K.strings(texts).to_pylist()
+        packed = codec.encode(plain)
+        back = [codec.decode(p) for p in packed]
+        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        digests = [hashlib.sha256(b.encode()).hexdigest() for b in back]
+        return [pa.array(np.diff(offsets).astype(np.int64)), ids, pa.array(digests, pa.string()), pa.array([a == b for a, b in zip(plain, back, strict=True)], pa.bool_())]
+
+    return _per_task(docs, kept, text_col, "string", vocabulary, [("n_tokens", "long"), ("ids", "array<int>"), ("decoded_sha256", "string"), ("round_trip", "boolean")], make)
+
+
 def decoded(ids: DataFrame, kept: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """``kept`` columns and ``text`` of id arrays."""
     shared = ids.sparkSession.sparkContext.broadcast(open(vocabulary or default_vocabulary(), encoding="utf-8").read())

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandline.llm import bpe, decontaminate, graph, hamming_topk, jaccard_join, langid, lm_scoring, pii, queries, sharding, toxicity, url_filter
 from strandline.llm.scratch import Scratch
 
@@ -185,6 +186,22 @@ def test_bpe_round_trip(spark, docs):
     assert bpe.round_trip_digests(empty(docs)).count() == 0
 
 
+def test_pipeline_encodes_and_decodes(spark, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    named = docs.withColumn("source", F.lit("s"))
+    texts = collections.defaultdict(set)
+    for r in named.collect():
+        texts[r["doc_id"]].add(r["text"] or "")
+    out = corpus_pipeline.STAGES[-1][1](spark, named, SF).collect()
+    assert len(out) == named.count()
+    for r in out:
+        text = t.decode(r["ids"], skip_special_tokens=False)
+        assert text in texts[r["doc_id"]] and r["ids"] == t.encode(text, add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+        assert r["round_trip"] and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_sharding(spark, docs):
     for law in ("rows", "key"):
         out = sharding.shard(docs, 8, law).collect()
