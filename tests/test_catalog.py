@@ -33,3 +33,10 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got.columns)
+
+
+def test_every_line_is_simplified(spark, duck):
+    got = {r["id"]: r["n"] for r in catalog.QUERIES["simplified_lines"](spark, "/root/testdata/sf0.01").collect()}
+    sizes = dict(duck.sql("SELECT user_id, count(*) FROM '/root/testdata/sf0.01/events.parquet' GROUP BY 1").fetchall())
+    assert max(sizes) >= 40 and got.keys() == sizes.keys()
+    assert all(min(2, sizes[k]) <= n <= sizes[k] for k, n in got.items())
