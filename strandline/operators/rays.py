@@ -33,8 +33,11 @@ def ray_fetch(origins: DataFrame, land: DataFrame, steps: int, size: float, step
     ``ENTER`` steps has the least fetch, one that never meets land again the greatest and no obstacle."""
     spark = origins.sparkSession
     most = steps * size
-    fan = F.broadcast(offsets(spark, steps + look, step))  # bearings times steps, whatever the data
-    path = origins.select("tile", F.col("r").alias("r0"), F.col("c").alias("c0")).crossJoin(fan)
+    # no ray meets land beyond the cells' extent, so steps that leave it are not joined
+    extent = land.select("r", "c").union(origins.select("r", "c")).agg(F.min("r").alias("r_lo"), F.max("r").alias("r_hi"), F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+    fan = offsets(spark, steps + look, step).crossJoin(F.broadcast(extent)).where((F.abs("i") <= F.col("r_hi") - F.col("r_lo")) & (F.abs("j") <= F.col("c_hi") - F.col("c_lo")))
+    path = origins.select("tile", F.col("r").alias("r0"), F.col("c").alias("c0")).crossJoin(F.broadcast(fan))  # bearings times steps, whatever the data
+    path = path.where((F.col("r0") + F.col("i")).between(F.col("r_lo"), F.col("r_hi")) & (F.col("c0") + F.col("j")).between(F.col("c_lo"), F.col("c_hi")))
     path = path.select("tile", "r0", "c0", "bearing", "k", (F.col("r0") + F.col("i")).alias("r"), (F.col("c0") + F.col("j")).alias("c"))
     hits = path.join(land.select("tile", "r", "c", "height"), ["tile", "r", "c"])
     ray = ["tile", "r0", "c0", "bearing"]

@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import catalog
 from strandline.functions import codec as C
 from strandline.functions import scoring as S
 from strandline.operators import incremental, pointcloud, raster, rays, series, transect, vector
+from strandline.plans import views
 from strandline.sources import scans, sinks
 from strandline.streaming import composite
 
@@ -111,6 +113,19 @@ def test_rays_against_marching(spark):
         assert (x["fetch"], x["obstacle"]) == march(land, x["r"], x["c"], *steps[x["bearing"]], 20, 10.0, 5)
 
 
+def test_registered_rays_cross_whole_tiles_from_all_land(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    lands = {}
+    for p in views.pixels(spark, sf_dir).where("swamp OR elev >= 7").collect():
+        lands.setdefault(p["tile"], {})[p["r"], p["c"]] = p["elev"]
+    got = {(x["tile"], x["r"], x["c"], x["bearing"]): (x["fetch"], x["obstacle"]) for x in catalog.QUERIES["ray_fetch"](spark, sf_dir).collect()}
+    assert len(got) == 48 * sum(map(len, lands.values()))
+    steps = {b["bearing"]: (b["dr"], b["dc"]) for b in rays.bearings(spark).collect()}
+    for tile, r, c in random.Random(3).sample(sorted({k[:3] for k in got}), 20):
+        for b, (dr, dc) in steps.items():
+            assert got[tile, r, c, b] == march(lands[tile], r, c, dr, dc, 1500, 10.0, 10)
+
+
 def test_open_water_has_the_known_bias(spark):
     df = rays.bearings(spark).select(F.lit(1).alias("id"), "bearing", F.lit(15000.0).alias("fetch"), F.lit(3.0).alias("obstacle"))
     for r in rays.effective(df, ["id"]).collect():
