@@ -150,6 +150,68 @@ def test_pii_terms_and_text(spark):
     assert pii.sanitised(df.where("false")).count() == 0
 
 
+def slow_terms(texts, threshold):
+    """Places of disclosing terms in each different text, by counting every pair of an entity and a word."""
+    held, words_of, base = collections.defaultdict(set), {}, collections.defaultdict(list)
+    for t in texts:
+        low = t.translate(LOWER)
+        words_of[t] = set(ALNUM.findall(low))
+        for k, (kind, p) in enumerate(KINDS):
+            for m in re.finditer(p, t):
+                if valid(kind, m.group()):
+                    base[t].append(m.span())
+                    held[k, re.sub("[^0-9]", "", m.group()) if k >= 2 else m.group().translate(LOWER)].add(t)
+    d = collections.Counter(w for ws in words_of.values() for w in ws)
+    strong, n = collections.defaultdict(set), len(texts)
+    for with_e in held.values():
+        de = len(with_e)
+        c = collections.Counter(w for t in with_e for w in words_of[t] - {v for a, z in base[t] for v in ALNUM.findall(t[a:z].translate(LOWER))})
+        for w, k in c.items():
+            if n > de and math.log(k * n / (d[w] * de)) >= threshold * math.log(n / de):
+                for t in with_e:
+                    if w in words_of[t]:
+                        strong[t].add(w)
+    out = {}
+    for t in texts:
+        inside = {v for a, z in base[t] for v in ALNUM.findall(t[a:z].translate(LOWER))}
+        out[t] = [m.span() for m in ALNUM.finditer(t.translate(LOWER)) if m.group() in strong[t] - inside and not any(a < m.end() and m.start() < z for a, z in base[t])]
+    return out
+
+
+def test_pii_terms_against_all_pairs(spark):
+    rng = random.Random(7)
+    texts = []
+    for i in range(90):
+        ws = [rng.choice(["Alpha", "beta", "gamma", "délta", "rare%d" % rng.randrange(40), "uniq%d" % i, "Xa%d" % rng.randrange(12)]) for _ in range(rng.randrange(1, 25))]
+        ws += [rng.choice(["a%d@x.org" % rng.randrange(6), "10.0.0.%d" % rng.randrange(4), "éa1@x.org", "uniq@b.co", "+1 415 555 01%02d" % rng.randrange(3)]) for _ in range(rng.choice([0, 0, 1, 2, 3]))]
+        rng.shuffle(ws)
+        texts.append(" ".join(ws))
+    texts += texts[:9]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.95, 0.47):
+        want = slow_terms(sorted(set(texts)), threshold)
+        assert any(want.values())
+        for r in pii.spans(df, carried=("text",), threshold=threshold).collect():
+            assert [(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == 4] == want[r["text"]], threshold
+
+
+def test_pii_text_with_many_values(spark):
+    """Replacement against slicing, over texts longer than a block with more spans than are taken at a time."""
+    parts = ["é" * (i % 7) + f" x{i}@y{i % 50}.org " + "word " * (i % 11) + ("1.2.3.4@q.io " if i % 5 == 0 else "") for i in range(900)]
+    text = "".join(parts)
+    df = spark.createDataFrame([(1, text), (2, "plain"), (3, text + "z" * 5000), (4, "a@b.c")], "extra long, text string").withColumns({"base": F.lit(1), "_text": F.lit(2), "key": F.lit(3), "changed": F.lit(4), "c0": F.lit(5), "text_id": F.lit(6)})
+    got = {r["extra"]: r for r in pii.sanitised(df).collect()}
+    marked = {r["extra"]: r["spans"] for r in pii.spans(df, carried=("extra",)).collect()}
+    assert len(marked[1]) > 900 and got[2]["text"] == "plain" and all(tuple(r)[2:] == (1, 2, 3, 4, 5, 6) for r in got.values())
+    for i, t in ((1, text), (3, text + "z" * 5000), (4, "a@b.c")):
+        out, at = [], 0
+        for s in marked[i]:
+            if s["start"] >= at:
+                out += [t[at : s["start"]], f"<{pii.KINDS[s['kind']].upper()}>"]
+            at = max(at, s["stop"])
+        assert got[i]["text"] == "".join(out) + t[at:]
+
+
 def test_pii_terms_of_values_in_one_text(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = {r["text"] or "" for r in df.collect()}
@@ -167,7 +229,7 @@ def test_pii_terms_of_values_in_one_text(spark):
         base = [(s["start"], s["stop"]) for s in r["base"]]
         inside = {w for a, z in base for w in words(t[a:z], ALNUM)}
         strong = {w for w in words(t, ALNUM) if w not in inside and math.log(n / count[w]) / math.log(n) >= pii.THRESHOLD} if t in holders else set()
-        want = [m.span() for m in ALNUM.finditer(t) if m.group().translate(LOWER) in strong and not any(a < m.end() and m.start() < z for a, z in base)]
+        want = [m.span() for m in ALNUM.finditer(t.translate(LOWER)) if m.group() in strong and not any(a < m.end() and m.start() < z for a, z in base)]
         assert [(s["start"], s["stop"]) for s in r["spans"] if s["kind"] == 4] == want
         marked += len(want)
     assert marked
