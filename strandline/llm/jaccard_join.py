@@ -40,8 +40,8 @@ BAND = 1.5
 FLUSH = 600_000
 #: From so many equal signatures in one task on, one of them travels and the others are passed by.
 HOT = 64
-#: Nodes of a tile.
-TILE = 512
+#: Weight of a tile: a node counts one, or more if it has over ``HEAVY`` shingles; so a tile's arrays stay under 17 MB or hold one node.
+TILE, HEAVY = 512, 4096
 #: Up to so many candidate ids are broadcast (16 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -77,9 +77,12 @@ def signatures(values: np.ndarray, at: np.ndarray, b: Banding) -> tuple[np.ndarr
     sizes = np.diff(at)
     out_s, out_d = [], []
     own = b.band(np.maximum(sizes, 1))
-    for step in (0, 1):
-        band = own + step
-        rows = np.flatnonzero((sizes > 0) & (b.parts[band] > 0) & ((step == 0) | (b.den * sizes >= b.num * b.low[band])))
+    for step in range(len(b.parts)):
+        band = np.minimum(own + step, len(b.parts) - 1)
+        reach = (sizes > 0) & (own + step < len(b.parts)) & ((step == 0) | (b.den * sizes >= b.num * b.low[band]))
+        if not reach.any():
+            break
+        rows = np.flatnonzero(reach & (b.parts[band] > 0))
         if not len(rows):
             continue
         n, m, g = sizes[rows], b.parts[band[rows]], band[rows]
@@ -238,7 +241,7 @@ def _bounded(banding: Banding):
     """Pairs whose bitmaps allow a link, with the bound of their similarity."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in K.pieces(whole, "bits_a")):
             rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b")), strict=True)
             kept = []
             for a, b, n_a, n_b, bits_a, bits_b in rows:
@@ -252,7 +255,7 @@ def _bounded(banding: Banding):
 
 def _settled(banding: Banding):
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in K.pieces(whole, "x")):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -312,7 +315,7 @@ def _tiled(banding: Banding, whole: bool):
                     links = [(rows[i][0], rows[i][0]) for i in sorted(near)]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        for batch in batches:
+        for batch in (piece for large in batches for piece in K.pieces(large, "shingles" if whole else "bits")):
             for family, left, right, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (family, left, right) != key:
                     if rows:
@@ -325,15 +328,16 @@ def _tiled(banding: Banding, whole: bool):
     return run
 
 
-def _ranked(sized: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rank`` from 0 of each row in its family by (own, n, node). Rows are cut into ranges, so a large family is ranked
-    by many tasks: a row's rank is its place in its range and the family's rows in earlier ranges."""
+def _placed(sized: DataFrame, scratch: Scratch) -> DataFrame:
+    """``tile`` from 0 of each row in its family by (own, n, node), from the weight before it. Rows are cut into ranges, so a
+    large family is placed by many tasks: before a row lie the rows of its range and the family's earlier ranges."""
     order = [F.col("own").asc_nulls_last(), F.col("n"), F.col("node")]
-    ranged = scratch.table(sized.repartitionByRange(F.col("family"), *order).withColumn("part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("family", "part").agg(F.count("*").alias("rows"))
-    before = counts.select("family", "part", (F.sum("rows").over(W.partitionBy("family").orderBy("part")) - F.col("rows")).alias("before"))
-    place = F.row_number().over(W.partitionBy("family", "part").orderBy(*order)) - 1
-    return ranged.withColumn("place", place).join(before, ["family", "part"]).withColumn("rank", F.col("place") + F.col("before"))
+    weight = F.greatest(F.lit(1.0), F.col("n") / HEAVY).alias("weight")
+    ranged = scratch.table(sized.select("*", weight).repartitionByRange(F.col("family"), *order).withColumn("part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("family", "part").agg(F.sum("weight").alias("all"))
+    before = sums.select("family", "part", (F.sum("all").over(W.partitionBy("family").orderBy("part")) - F.col("all")).alias("before"))
+    inside = F.sum("weight").over(W.partitionBy("family", "part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("weight")
+    return ranged.withColumn("inside", inside).join(before, ["family", "part"]).withColumn("tile", F.floor((F.col("inside") + F.col("before")) / TILE))
 
 
 def _across(open_nodes: DataFrame, sets: DataFrame, banding: Banding, scratch: Scratch) -> DataFrame:
@@ -347,7 +351,7 @@ def _across(open_nodes: DataFrame, sets: DataFrame, banding: Banding, scratch: S
     sized = open_nodes.join(sets.select("node", "n"), "node")
     mass = sized.groupBy("family", "root").agg(F.count("*").alias("mass"))
     sized = sized.join(mass, ["family", "root"]).withColumn("own", F.when(F.col("mass") >= TILE, F.col("root")))
-    placed = _ranked(sized, scratch).withColumn("tile", F.floor(F.col("rank") / TILE)).select("family", "tile", "node", "root", "n")
+    placed = _placed(sized, scratch).select("family", "tile", "node", "root", "n")
     tiles = placed.groupBy("family", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("first"), F.max("root").alias("last"))
     left = tiles.select("family", *(F.col(c).alias(f"l_{c}") for c in tiles.columns[1:]))
     right = tiles.select("family", *(F.col(c).alias(f"r_{c}") for c in tiles.columns[1:]))
@@ -373,23 +377,30 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     kept = list(dict.fromkeys([id_col, *carried]))
     inner = [f"c{i}" for i in range(len(kept))]
     base = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner, strict=True)), F.col(f"`{text_col}`").cast("string").alias("text"))
+    base = base.withColumn("digest", F.xxhash64("text"))
+    inner.append("digest")
     types = dict(base.dtypes)
     head = ", ".join(f"{x} {types[x]}" for x in inner)
     for seed in range(0, 40, 2):
         profile = scratch.table(base.mapInArrow(_profile(n, seed, inner), f"{head}, n_shingles long, node long, check long"), "profile")
-        classes = profile.where("node IS NOT NULL").groupBy("node").agg(F.min("c0").alias("least"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        # one row stands for a node; null ids and repeated ones are told apart by their texts
+        first = F.min(F.struct(F.col("c0").isNull().alias("last"), "c0", "digest")).alias("row")
+        classes = profile.where("node IS NOT NULL").groupBy("node").agg(first, F.min("check").alias("lo"), F.max("check").alias("hi"))
+        classes = classes.select("node", F.col("row.c0").alias("least"), F.col("row.digest").alias("digest"), "lo", "hi")
         classes = scratch.table(classes, "classes")
         if not classes.where("lo <> hi").limit(1).count():
             break  # no two different sets have the same node
+    else:
+        raise RuntimeError("different sets got equal 64-bit hashes with every seed")
     volume = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = int(min(20_000, max(32, 2 * volume * (den - num) / (den + num) * 1.7 // 1_000_000 + 1)))
+    buckets = int(min(20_000, max(32, 2 * volume * (den - num) / (den + num) * 1.7 // 500_000 + 1)))
     met = base.select("text").mapInArrow(_signed(n, seed, banding, buckets), "bucket int, kind int, signs binary, nodes binary")
     met = scratch.table(met.repartition(buckets, "bucket").mapInArrow(_met, "sign long, node long"), "met")
     roots = _roots(base, met, classes, scratch, banding, n, seed)
     least = classes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component"))
     of = classes.join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("group"))
     out = profile.join(of, "node", "left")
-    return out.select(*(F.col(x).alias(c) for c, x in zip(kept, inner, strict=True)), "n_shingles", F.coalesce("component", "c0").alias("component_id"), "group")
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), "n_shingles", F.coalesce("component", "c0").alias("component_id"), "group")
 
 
 def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch, banding: Banding, n: int, seed: int) -> DataFrame:
@@ -400,8 +411,8 @@ def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch
 
     def found(nodes: DataFrame, whole: bool) -> DataFrame:
         """Bitmaps, and shingles if asked for, of the nodes, from the texts of the smallest ids that have them."""
-        wanted = scratch.table(nodes.join(classes.select("node", "least"), "node"), "wanted")
-        texts = base.select("text", "c0").join(_bounded_ids(wanted, wanted.count()), F.col("c0").eqNullSafe(F.col("least"))).select("text", "node")
+        wanted = scratch.table(nodes.join(classes.select("node", "least", F.col("digest").alias("of")), "node"), "wanted")
+        texts = base.select("text", "c0", "digest").join(_bounded_ids(wanted, wanted.count()), F.col("c0").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("of"))).select("text", "node")
         out = scratch.table(texts.mapInArrow(_arrays(n, seed, whole), "node long, n long, bits binary" + ", shingles binary" * whole), "sets")
         if out.select("node").distinct().count() != out.count():
             out = scratch.table(out.dropDuplicates(["node"]), "sets")
@@ -438,25 +449,26 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without words stay all. All columns stay. Only the list of rows that go meets the texts, broadcast up to
     ``MOST_BROADCAST`` rows.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    hashed = docs.withColumn("_h", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    marks = linked(hashed, id_col, text_col, n, num, den, carried=("_h",)).where(F.col("group").isNotNull())
-    marks = marks.select(F.col(f"`{id_col}`").alias("_id"), "_h", "group").groupBy("_id", "_h").agg(F.min("group").alias("group"), F.count("*").alias("rows"))
+    scratch, names = Scratch(docs.sparkSession), docs.columns
+    columns = [f"c{i}" for i in range(len(names))]
+    id_, text = columns[names.index(id_col)], columns[names.index(text_col)]
+    hashed = docs.toDF(*columns).withColumn("h", F.xxhash64(F.col(text).cast("string")))
+    marks = linked(hashed, id_, text, n, num, den, carried=("h",)).where(F.col("group").isNotNull())
+    marks = marks.select(F.col(id_).alias("id"), "h", "group").groupBy("id", "h").agg(F.min("group").alias("group"), F.count("*").alias("rows"))
     marks = scratch.table(marks, "marks")
-    order = F.struct(F.col("_id").isNull().alias("last"), F.col("_id"), F.col("_h"))
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("h"))
     best = marks.groupBy("group").agg(F.min(order).alias("best"))
-    status = scratch.table(marks.join(best, "group").select(F.col("_id"), F.col("_h").alias("_g"), "rows", (F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("_h") == F.col("best._h"))).alias("keep")), "status")
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g"))
+    status = scratch.table(marks.join(best, "group").select("id", F.col("h").alias("g"), "rows", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))).alias("keep")), "status")
+    same = F.col(id_).eqNullSafe(F.col("id")) & (F.col("h") == F.col("g"))
 
     def listed(condition) -> DataFrame:
-        rows = status.where(condition).select("_id", "_g")
+        rows = status.where(condition).select("id", "g")
         return _bounded_ids(rows, rows.count())
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     out = hashed.join(listed(~F.col("keep")), same, "left_anti")
     repeated = F.col("keep") & (F.col("rows") > 1)
     if status.where(repeated).limit(1).count():
         many = listed(repeated)
-        one = out.join(many, same, "left_semi").groupBy(F.col(f"`{id_col}`").alias("_id"), "_h").agg(F.min(F.struct(*columns)).alias("row"))
-        return out.join(many, same, "left_anti").select(*columns).union(one.select("row.*"))
-    return out.select(*columns)
+        one = out.join(many, same, "left_semi").groupBy(F.col(id_).alias("id"), "h").agg(F.min(F.struct(*columns)).alias("row"))
+        return out.join(many, same, "left_anti").select(*columns).union(one.select("row.*")).toDF(*names)
+    return out.select(*columns).toDF(*names)

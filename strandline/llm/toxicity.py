@@ -256,8 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(words, stems, trees, knots, share)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``kept`` columns and ``score``."""
+def _scored(docs: DataFrame, model: Model, text_col: str, kept: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """(``kept`` columns by names of their own, and ``score``; the names)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(kept)}
     df = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in inner.items() if x != "text"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -270,5 +270,16 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", kept: tuple[st
                 score = m.score(K.strings(piece.column("text")))
                 yield pa.RecordBatch.from_arrays([*(piece.column(x) for x in inner.values()), pa.array(score, pa.float64())], [*inner.values(), "score"])
 
-    out = df.mapInArrow(run, "".join(f"{x} {types[x]}, " for x in inner.values()) + "score double")
+    return df.mapInArrow(run, "".join(f"{x} {types[x]}, " for x in inner.values()) + "score double"), inner
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text", kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``kept`` columns and ``score``."""
+    out, inner = _scored(docs, model, text_col, kept)
     return out.select(*(F.col(x).alias(c) for c, x in inner.items()), "score")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, whatever the names of their columns."""
+    out, inner = _scored(docs, model, text_col, tuple(docs.columns))
+    return out.where(F.col("score") < threshold).select(*(F.col(x).alias(c) for c, x in inner.items()))

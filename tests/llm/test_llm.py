@@ -367,7 +367,7 @@ def brute_components(rows, n, num, den):
     return sets, [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("n", "num", "tile"), [(3, 90, 512), (5, 80, 512), (3, 90, 4)])
+@pytest.mark.parametrize(("n", "num", "tile"), [(3, 90, 512), (5, 80, 512), (3, 90, 4), (2, 55, 512)])
 def test_jaccard_components(spark, n, num, tile, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     rng = random.Random(num)
@@ -391,6 +391,40 @@ def test_jaccard_components(spark, n, num, tile, monkeypatch):
     assert kept == sorted({least[r] for r in root})
 
 
+def test_jaccard_links_of_very_different_sizes(spark):
+    """At one half, sizes that link lie two bands apart."""
+    long = " ".join(f"w{i}" for i in range(22))
+    df = spark.createDataFrame([(1, long), (2, " ".join(f"w{i}" for i in range(11))), (3, "w1 w2"), (4, None), (None, "w1 w2"), (None, long + " x"), (None, "other")], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.linked(df, n=1, num=50).collect())
+    assert got == {(1, 1): 1, (2, 1): 1, (3, 3): 1, (4, 4): 1, (None, 3): 1, (None, 1): 1, (None, None): 1}
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Every stage on nulls, empty and long texts, repeated rows, clashing names and an empty table, against plain Python."""
+    clash = docs.select("doc_id", "text", "lang", F.lit("s").alias("source"), "n_chars", *(F.lit(i).alias(c) for i, c in enumerate(("base", "extra", "_h", "h", "score", "key", "c0", "digest", "_text", "group", "places"))))
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near_duplicates", "benchmark", "personal_data", "tokens"]
+    rows = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for name, stage in stages.items():
+        out, none = stage(spark, clash, SF), stage(spark, empty(clash), SF)
+        assert none.count() == 0 and none.columns == out.columns
+        if name != "tokens":
+            assert out.columns == clash.columns and [t for _, t in out.dtypes] == [t for _, t in clash.dtypes]
+        if name == "toxicity":
+            assert set(rows(out)) <= set(rows(clash)) and out.count() >= 0.9 * clash.count()
+        if name == "near_duplicates":
+            texts = [(i, r) for i, r in enumerate(clash.collect())]
+            _, root = brute_components([(i, r["text"]) for i, r in texts], 5, 80, 100)
+            groups = collections.defaultdict(list)
+            for (_, r), g in zip(texts, root, strict=True):
+                groups[g].append(r)
+            want = [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
+            assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(r["doc_id"]) for r in want)
+        if name == "personal_data":
+            assert out.where("text LIKE '%a@b.c%' AND doc_id < 1000").count() == 0 and out.where("text LIKE '%<EMAIL>%'").count() > 0
+            assert out.where("text IS NOT NULL AND n_chars <> length(text)").count() == 0
+
+
 def test_jaccard_odd_rows(spark, docs):
     assert jaccard_join.linked(empty(docs)).count() == 0 and jaccard_join.representatives(empty(docs)).count() == 0
     kept = jaccard_join.representatives(docs)
