@@ -15,8 +15,7 @@ from strandline.llm.scratch import Scratch
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~langid.held_out(F.col("doc_id"), 4, 2))
-    scored = toxicity.scored(docs, toxicity.train(docs, labels), kept=tuple(docs.columns))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.accepted(docs, toxicity.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, the digest of what they decode to, and whether that is the text again."""
-    return bpe.round_trips(docs, kept=("doc_id", "lang", "source", "n_chars"))
+    return bpe.round_trips(docs, kept=tuple(c for c in ("doc_id", "lang", "source", "n_chars") if c in docs.columns))
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("tokens", tokens)]
