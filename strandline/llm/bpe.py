@@ -89,6 +89,7 @@ class Codec:
 
 
 def _prepared(docs: DataFrame, kept: tuple[str, ...], column: str, kind: str):
+    K.small_batches(docs.sparkSession)
     inner = [f"c{i}" for i in range(len(kept))]
     df = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner, strict=True)), F.col(f"`{column}`").cast(kind).alias("text"))
     types = dict(df.dtypes)

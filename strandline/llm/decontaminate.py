@@ -139,8 +139,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
             yield [r["id"] for r in rows], [r["text"] for r in rows]
 
 
-def _matched(shared, carried: list[str]):
-    """Adds to each row the spans of words that are hit (merged, as a flat array of begins and ends) and the items found."""
+def _matched(shared, carried: list[str], margin: int | None):
+    """Adds to each row the spans of words that are hit (merged, as a flat array of begins and ends) and the items found;
+    with a ``margin``, the text is given without the spans."""
 
     def run(batches):
         auto: Automaton = shared.value
@@ -166,8 +167,11 @@ def _matched(shared, carried: list[str]):
                             spans[d] += [x + off for s in hit for x in s]
                             found[d].update(auto.ids[k] for k in items)
                 spans = [_merged(s) if s else s for s in spans]
+                text = piece.column("text")
+                if margin is not None and any(spans):
+                    text = pa.array([_without(t, s, margin) for t, s in zip(text.to_pylist(), spans, strict=True)], text.type)
                 yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(c) for c in carried), piece.column("text"), pa.array(n, pa.int64()), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(f) for f in found], pa.list_(pa.string()))],
+                    [*(piece.column(c) for c in carried), text, pa.array(n, pa.int64()), pa.array([sum(s[1::2]) - sum(s[::2]) for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(f) for f in found], pa.list_(pa.string()))],
                     [*carried, "text", "n_words", "n_hit", "spans", "items"],
                 )
 
@@ -185,25 +189,35 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carried: tuple[str, ...] | None = None, window: int = WINDOW) -> DataFrame:
-    """Per document: ``carried`` columns (default: the id), ``text``, ``n_words``, ``n_hit``, ``spans`` (begins and ends
-    of hit words, flat, merged) and ``items`` (ids of items with occurring windows, sorted as strings). No shuffle."""
+def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, carried: tuple[str, ...], window: int, margin: int | None) -> DataFrame:
+    """The columns of ``matches``, the carried ones as c0, c1, ...; with a ``margin``, the text without its spans."""
     spark = docs.sparkSession
-    names = list(carried or (id_col,))
-    inner = [f"c{i}" for i in range(len(names))]
-    df = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(names, inner, strict=True)), F.col(f"`{text_col}`").cast("string").alias("text"))
+    scratch, written = Scratch(spark), None
+    inner = [f"c{i}" for i in range(len(carried))]
+    df = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(carried, inner, strict=True)), F.col(f"`{text_col}`").cast("string").alias("text"))
     types = dict(df.dtypes)
     schema = ", ".join(f"{x} {types[x]}" for x in inner) + ", text string, n_words long, n_hit long, spans array<long>, items array<string>"
     df = df.withColumns({"n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
-    blocks = 0
-    for ids, texts in _blocks(benchmark, item_col, item_text_col):
-        if blocks:
-            df = Scratch(spark).table(df, "block")
-        df = df.mapInArrow(_matched(spark.sparkContext.broadcast(Automaton(ids, texts, window)), inner), schema)
-        blocks += 1
-    if not blocks:
-        df = df.mapInArrow(_matched(spark.sparkContext.broadcast(Automaton([], [], window)), inner), schema)
-    return df.select(*(F.col(x).alias(c) for c, x in zip(names, inner, strict=True)), *(F.col(c) for c in ("text", "n_words", "n_hit", "spans", "items")))
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    block = next(blocks, ([], []))
+    while block:
+        after = next(blocks, None)
+        df = df.mapInArrow(_matched(spark.sparkContext.broadcast(Automaton(*block, window)), inner, None if after else margin), schema)
+        if after:
+            df, before = scratch.table(df, "block"), written
+            if before is not None:
+                scratch.drop(before)
+            written = df
+        block = after
+    return df
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carried: tuple[str, ...] | None = None, window: int = WINDOW) -> DataFrame:
+    """Per document: ``carried`` columns (default: the id), ``text``, ``n_words``, ``n_hit``, ``spans`` (begins and ends
+    of hit words, flat, merged) and ``items`` (ids of items with occurring windows, sorted as strings). No shuffle."""
+    names = carried or (id_col,)
+    df = _marked(docs, benchmark, text_col, item_col, item_text_col, names, window, None)
+    return df.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *(F.col(c) for c in ("text", "n_words", "n_hit", "spans", "items")))
 
 
 def _without(text: str | None, spans: list[int], margin: int) -> str | None:
@@ -229,21 +243,15 @@ def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     All columns of ``docs`` stay; an ``n_chars`` column is set to the new text's length where the text changed.
     """
-    other = {c: f"k{i}" for i, c in enumerate(docs.columns) if c != text_col}
-    plain = docs.select(F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(k) for c, k in other.items()))
-    out = matches(plain, benchmark, id_col, "text", item_col, item_text_col, tuple(other.values()), window)
+    names, types = docs.columns, [t for _, t in docs.dtypes]
+    plain = docs.toDF(*(f"k{i}" for i in range(len(names))))
+    at = names.index(text_col)
+    others = tuple(c for i, c in enumerate(plain.columns) if i != at)
+    out = _marked(plain, benchmark, f"k{at}", item_col, item_text_col, others, window, margin)
     out = out.where(F.col("n_hit") <= F.col("n_words") * most_coverage)
-    names = [*other.values(), "text", "spans"]
-
-    def cut(batches):
-        for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-            fresh = pa.array([_without(t, s, margin) for t, s in zip(texts, spans, strict=True)], pa.string())
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", fresh)
-
-    types = dict(out.dtypes)
-    out = out.select(*names).mapInArrow(cut, ", ".join(f"{c} {types[c]}" for c in names))
-    if "n_chars" in other:
-        k = other["n_chars"]
-        out = out.withColumn(k, F.when(F.size("spans") > 0, F.length("text").cast(types[k])).otherwise(F.col(k)))
-    return out.select(*(F.col("text" if c == text_col else other[c]).alias(c) for c in docs.columns))
+    columns = [F.col(f"c{i}") for i in range(len(others))]
+    columns.insert(at, F.col("text").cast(types[at]))
+    if "n_chars" in names and text_col != "n_chars":
+        k = names.index("n_chars")
+        columns[k] = F.when(F.size("spans") > 0, F.length("text").cast(types[k])).otherwise(columns[k])
+    return out.select(*(c.alias(name) for c, name in zip(columns, names, strict=True)))

@@ -8,9 +8,9 @@
 3. Every group pairs its smallest node with each other one (a star, linear in the group). A bitmap of about
    four bits a shingle bounds each overlap from above; of what passes, each node's likeliest pair is settled by
    exact array intersection.
-4. Groups that still hold two components are joined to families, whose nodes are cut into tiles by size; bitmaps
-   of tile pairs are compared across components, and nodes that pass are tiled again with their arrays, settling
-   every pair that matters in the tile. Then every linking pair
+4. Groups that still hold two components (those with the same smallest node count as one group, called a family) are
+   cut into tiles by size; bitmaps of a family's tile pairs are compared across components, and nodes that pass are
+   tiled again with their arrays, settling every pair that matters in the tile. Then every linking pair
    has been settled or lies within one component, so components are exact.
 
 Defined cases: a null, empty or blank text has the empty set and links with nothing; a text with fewer words
@@ -328,7 +328,7 @@ def _tiled(banding: Banding, whole: bool):
     return run
 
 
-def _placed(sized: DataFrame, scratch: Scratch) -> DataFrame:
+def _placed(sized: DataFrame, tile: int, scratch: Scratch) -> DataFrame:
     """``tile`` from 0 of each row in its family by (own, n, node), from the weight before it. Rows are cut into ranges, so a
     large family is placed by many tasks: before a row lie the rows of its range and the family's earlier ranges."""
     order = [F.col("own").asc_nulls_last(), F.col("n"), F.col("node")]
@@ -337,7 +337,7 @@ def _placed(sized: DataFrame, scratch: Scratch) -> DataFrame:
     sums = ranged.groupBy("family", "part").agg(F.sum("weight").alias("all"))
     before = sums.select("family", "part", (F.sum("all").over(W.partitionBy("family").orderBy("part")) - F.col("all")).alias("before"))
     inside = F.sum("weight").over(W.partitionBy("family", "part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("weight")
-    return ranged.withColumn("inside", inside).join(before, ["family", "part"]).withColumn("tile", F.floor((F.col("inside") + F.col("before")) / TILE))
+    return ranged.withColumn("inside", inside).join(before, ["family", "part"]).withColumn("tile", F.floor((F.col("inside") + F.col("before")) / tile))
 
 
 def _across(open_nodes: DataFrame, sets: DataFrame, banding: Banding, scratch: Scratch) -> DataFrame:
@@ -348,10 +348,11 @@ def _across(open_nodes: DataFrame, sets: DataFrame, banding: Banding, scratch: S
     sizes cannot link, or that hold the same one component, are left out; so a large component meets the rest only.
     """
     whole = "shingles" in sets.columns
+    tile = TILE if whole else 4 * TILE  # bitmaps are small
     sized = open_nodes.join(sets.select("node", "n"), "node")
     mass = sized.groupBy("family", "root").agg(F.count("*").alias("mass"))
-    sized = sized.join(mass, ["family", "root"]).withColumn("own", F.when(F.col("mass") >= TILE, F.col("root")))
-    placed = _placed(sized, scratch).select("family", "tile", "node", "root", "n")
+    sized = sized.join(mass, ["family", "root"]).withColumn("own", F.when(F.col("mass") >= tile, F.col("root")))
+    placed = _placed(sized, tile, scratch).select("family", "tile", "node", "root", "n")
     tiles = placed.groupBy("family", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("first"), F.max("root").alias("last"))
     left = tiles.select("family", *(F.col(c).alias(f"l_{c}") for c in tiles.columns[1:]))
     right = tiles.select("family", *(F.col(c).alias(f"r_{c}") for c in tiles.columns[1:]))
@@ -434,8 +435,8 @@ def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch
     open_ = at.groupBy("sign").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("hub")).where("lo <> hi").select("sign", "hub")
     met_open = scratch.table(at.join(open_, "sign").select("node", "root", "hub").distinct(), "open")
     if met_open.limit(1).count():
-        families = components(met_open.select(F.col("hub").alias("a"), F.col("node").alias("b")), scratch).select("node", F.col("root").alias("family"))
-        members = scratch.table(met_open.select("node", "root").distinct().join(families, "node"), "members")
+        # groups are tiled one by one: joined to families they would grow with the corpus, and tile pairs with the square of that
+        members = met_open.select(F.col("hub").alias("family"), "node", "root")
         may = scratch.table(_across(members, bits, banding, scratch).select(F.col("a").alias("node")).distinct(), "may")
         if may.limit(1).count():
             across = scratch.table(_across(members.join(may, "node", "left_semi"), found(may, True), banding, scratch), "across")

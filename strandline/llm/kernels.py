@@ -7,6 +7,7 @@ so a byte table decides the same as a code-point rule as long as no non-ASCII ch
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,6 +96,27 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterato
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(a, b - a)
         pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can (glibc); a worker lives through many tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Bounds Arrow batches by bytes, for rows may be long; a smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:

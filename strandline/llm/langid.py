@@ -220,6 +220,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``kept`` columns, ``lang_pred`` and ``score``."""
+    K.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the samples: TRAIN_CHARS bytes a language
     inner = [f"c{i}" for i in range(len(kept))]
     df = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner, strict=True)), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .kernels import small_batches
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder in local mode, else an error."""
@@ -25,6 +27,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
 

@@ -258,6 +258,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scored(docs: DataFrame, model: Model, text_col: str, kept: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """(``kept`` columns by names of their own, and ``score``; the names)."""
+    K.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     inner = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(kept)}
     df = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in inner.items() if x != "text"), F.col(f"`{text_col}`").cast("string").alias("text"))
