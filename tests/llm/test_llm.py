@@ -294,15 +294,34 @@ def slow_phrases(text, sample):
     return n
 
 
-def test_language_phrases_against_slow_parsing():
-    model = langid.Model({"a": ["abra cadabra", "alakazam"], "b": ["hocus pocus", "xyz"]})
-    texts = ["abracadabra", "pocus hocus", "zzz", "q", "alakazam cad"]
-    coded = [model.classes(langid.points(t)) for t in texts]
-    at = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
-    got = model.phrases(np.concatenate(coded), at)
-    for i, lang in enumerate(model.langs):
-        sample = [bytes(s) for s in model.samples[lang]]
-        assert got[i].tolist() == [slow_phrases(bytes(c), sample) for c in coded]
+def test_language_phrases_against_slow_parsing(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(langid, "LANE", 16)
+    wide = [chr(0x4E00 + i) for i in range(300)]  # far more letters than table columns
+    for dense in (62, 3):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        model = langid.Model({"a": ["abra cadabra", "alakazam"], "b": ["hocus pocus", "xyz"], "c": ["".join(rng.choices(wide, k=400)), "".join(rng.choices("ab ", k=300))], "d": ["".join(wide)]})
+        texts = ["abracadabra", "pocus hocus", "zzz", "q", "", "alakazam cad", "ab" * 200, "".join(rng.choices("abc xyz", k=500)), "".join(rng.choices(wide + list("ab Ж"), k=700)), "".join(wide) * 2, "abra cadabra" * 30]
+        coded = [model.classes(langid.points(t)) for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
+        got = model.phrases(np.concatenate(coded), at)
+        for i, lang in enumerate(model.langs):
+            sample = ["".join(map(chr, 32 + model.classes(langid.points(t)))) for t in model.samples[lang]]
+            assert got[i].tolist() == [slow_phrases("".join(map(chr, 32 + c)), sample) for c in coded], (dense, lang)
+
+
+def test_language_id_with_many_languages_and_scripts(spark):
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    rows, vocabulary = [], {}
+    for k in range(70):
+        vocabulary[k] = ["".join(rng.choices(letters, k=3)) for _ in range(40)]
+        rows += [(f"l{k:02d}", " ".join(rng.choices(vocabulary[k], k=30))) for _ in range(4)]
+    rows += [("copies", "only this one text")] * 500
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    tests = [(f"l{k:02d}", " ".join(rng.choices(vocabulary[k], k=30))) for k in range(70)] + [("copies", "this one text only")]
+    got = langid.predict(spark.createDataFrame(tests, "lang string, text string"), model, kept=("lang",)).collect()
+    assert len(model.langs) == 71 and all(r["lang"] == r["lang_pred"] for r in got)
 
 
 def test_language_id(spark, docs):
