@@ -175,9 +175,12 @@ def _seeds():
     return (F.col("slope_deg") <= 1) & F.col("rock")
 
 
-@query(f"WITH {_NEAR} SELECT tile, r, c, min(d2) AS d2 FROM near WHERE d2 <= 16 GROUP BY 1, 2, 3")
+_NEAREST = f"{_NEAR}, nearest AS (SELECT tile, r, c, d2, sr, sc FROM (SELECT *, row_number() OVER (PARTITION BY tile, r, c ORDER BY d2, sr, sc) AS rn FROM near) WHERE rn = 1 AND d2 <= 16)"
+
+
+@query(f"WITH {_NEAREST} SELECT tile, r, c, d2, sr, sc FROM nearest")
 def nearest_seed(spark, sf_dir):
-    return raster.nearest_seed(V.pixels(spark, sf_dir), _seeds(), 4).select("tile", "r", "c", "d2")
+    return raster.nearest_seed(V.pixels(spark, sf_dir), _seeds(), 4).select("tile", "r", "c", "d2", "sr", "sc")
 
 
 @query(f"WITH {_NEAR} SELECT tile, r, c FROM near JOIN pixels USING (tile, r, c) WHERE NOT swamp GROUP BY 1, 2, 3 HAVING min(d2) BETWEEN 1 AND 9")
@@ -196,19 +199,42 @@ def alongshore_min(spark, sf_dir):
     return raster.window_extreme(V.pixels(spark, sf_dir), "slope_deg", 2)
 
 
-_PRIME = f"""WITH {_NEAR}, one AS (SELECT tile, r, c, sr, sc, d2, row_number() OVER (PARTITION BY tile, r, c ORDER BY d2, rk, sr, sc) AS rn FROM (SELECT *, (r - sr) * (r - sr) AS rk FROM near)),
-zone AS (SELECT o.tile, o.r, o.c, sr, sc, slope_deg FROM one o JOIN pixels p ON p.tile = o.tile AND p.r = o.r AND p.c = o.c WHERE rn = 1 AND d2 BETWEEN 1 AND 16),
-best AS (SELECT tile, r, c FROM near GROUP BY 1, 2, 3 HAVING min(d2) BETWEEN 1 AND 16)
-SELECT count(*) AS cells, (SELECT count(*) FROM best) AS reached FROM zone"""
+#: Zone cells, and the lower percentile of each strip with its least value alongshore, for a column of ``zone``.
+_ZONE = f"{_NEAREST}, zone AS (SELECT n.tile, n.r, n.c, sr, sc, slope_deg, s AS slope, d AS dist, rock::INTEGER::DOUBLE AS rock, (NOT swamp)::INTEGER::DOUBLE AS not_swamp FROM nearest n JOIN scored p ON p.tile = n.tile AND p.r = n.r AND p.c = n.c WHERE d2 >= 1)".replace(", near AS", f", {SCORED}, near AS")
+
+
+def _strip(column: str) -> str:
+    return f"""p_{column} AS (SELECT tile, sr, sc, v FROM (SELECT tile, sr, sc, {column} AS v, row_number() OVER (PARTITION BY tile, sr, sc ORDER BY {column}) - 1 AS k, count(*) OVER (PARTITION BY tile, sr, sc) AS n FROM zone) WHERE k = ((n - 1) * 10) // 100),
+w_{column} AS (SELECT a.tile, a.sr, a.sc, min(b.v) AS {column} FROM p_{column} a JOIN p_{column} b ON a.tile = b.tile AND abs(a.sr - b.sr) <= 2 AND abs(a.sc - b.sc) <= 2 GROUP BY 1, 2, 3)"""
 
 
-@query(_PRIME)
+_PRIMES = f"{_ZONE}, {', '.join(_strip(c) for c in transect.COMPONENTS)}, primes AS (SELECT z.tile, z.r, z.c, w_slope.slope, w_dist.dist, w_rock.rock, w_not_swamp.not_swamp FROM (SELECT tile, r, c, sr, sc FROM zone) z " + " ".join(f"JOIN w_{c} USING (tile, sr, sc)" for c in transect.COMPONENTS) + ")"
+_PRIME_BYTES = f"{_PRIMES}, prime_bytes AS (SELECT tile, r, c, trunc(slope * 255)::INTEGER AS slope_b, trunc(dist * 255)::INTEGER AS dist_b, rock >= 0.5 AS rock, not_swamp < 0.5 AS swamp FROM primes)"
+
+
+@query(f"WITH {_ZONE} SELECT tile, r, c, sr, sc FROM zone")
 def strip_zone(spark, sf_dir):
-    zone = transect.strips(V.pixels(spark, sf_dir), _seeds(), 1, 4)
-    return zone.agg(F.count("*").alias("cells"), F.count_if(F.col("d2").between(1, 16)).alias("reached"))
+    return transect.strips(V.pixels(spark, sf_dir), _seeds(), 1, 4).select("tile", "r", "c", "sr", "sc")
 
 
-@query()
+@query(f"WITH {_PRIMES} SELECT tile, r, c, round(slope, 9) AS slope, round(dist, 9) AS dist, rock, not_swamp FROM primes")
+def prime_components(spark, sf_dir):
+    return transect.prime_components(V.pixels(spark, sf_dir), _seeds()).select("tile", "r", "c", _r("slope", 9).alias("slope"), _r("dist", 9).alias("dist"), "rock", "not_swamp")
+
+
+@query(f"WITH {_PRIME_BYTES} SELECT tile, r, c, slope_b, dist_b, rock, swamp FROM prime_bytes")
+def prime_bytes(spark, sf_dir):
+    return transect.prime_bytes(transect.prime_components(V.pixels(spark, sf_dir), _seeds()))
+
+
+@query(f"WITH {_PRIME_BYTES}, ties AS (SELECT tile, r, c, trunc(t * 255)::INTEGER AS tie_b FROM scored), masked AS (SELECT *, {_mask_sql()} AS score FROM prime_bytes JOIN ties USING (tile, r, c), (SELECT unnest(range(1, 16))::INTEGER AS mask)), q AS (SELECT mask, quantile_cont(score + 1e-4::DOUBLE * (tie_b / 255.0::DOUBLE), {_SHARES}) AS q FROM masked GROUP BY 1) SELECT mask, k::INTEGER AS pct, round(q[k], 9) AS threshold FROM q, (SELECT unnest(range(1, 11)) AS k)")
+def prime_thresholds(spark, sf_dir):
+    px = V.pixels(spark, sf_dir)
+    primes = transect.prime_bytes(transect.prime_components(px, _seeds()))
+    return ranking.prime_thresholds(primes, px).withColumn("threshold", _r("threshold", 9))
+
+
+@query(f"WITH {_ZONE}, {_strip('slope_deg')} SELECT z.tile, z.r, z.c, w_slope_deg.slope_deg FROM (SELECT tile, r, c, sr, sc FROM zone) z JOIN w_slope_deg USING (tile, sr, sc)")
 def prime_strips(spark, sf_dir):
     return transect.prime(V.pixels(spark, sf_dir), _seeds(), "slope_deg")
 
@@ -317,11 +343,11 @@ def ray_fetch(spark, sf_dir):
     return rays.ray_fetch(land.select("tile", "r", "c"), land, steps=1500, size=10.0)
 
 
-@query("""WITH b AS (SELECT unnest(range(0, 48)) * 7.5::DOUBLE AS bearing), t AS (SELECT p_partkey, bearing, 50 + (p_partkey * 7 + bearing * 10) % 14950 AS f, (p_partkey % 21)::DOUBLE AS obstacle FROM part, b WHERE p_partkey % 10 = 0),
+@query("""WITH b AS (SELECT unnest(range(0, 48)) * 7.5::DOUBLE AS bearing), t AS (SELECT p_partkey, bearing, 50 + (p_partkey * 7 + bearing * 10) % 14950 AS f, (p_partkey % 21)::DOUBLE AS obstacle FROM part, b),
 f AS (SELECT s AS sector, (s * 30.0::DOUBLE + k * 7.5::DOUBLE + 360) % 360 AS bearing, cos(radians(k * 7.5::DOUBLE)) AS w FROM (SELECT unnest(range(0, 12))::INTEGER AS s), (SELECT unnest(range(-6, 7)) AS k))
 SELECT p_partkey, sector, round(sum(f * w * w) / sum(w), 4) AS metres, round(sum(obstacle * w * w) / sum(w * w), 6) AS obstacle FROM t JOIN f USING (bearing) GROUP BY 1, 2""")
 def effective_fetch(spark, sf_dir):
-    part = V.table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select("p_partkey")
+    part = V.table(spark, sf_dir, "part").select("p_partkey")
     rows = part.crossJoin(F.broadcast(rays.bearings(spark).select("bearing")))  # 48 bearings
     rows = rows.select("p_partkey", "bearing", (50 + (F.col("p_partkey") * 7 + F.col("bearing") * 10) % 14950).alias("fetch"), (F.col("p_partkey") % 21).cast("double").alias("obstacle"))
     return rays.effective(rows, ["p_partkey"]).select("p_partkey", "sector", _r("fetch", 4).alias("metres"), _r("obstacle").alias("obstacle"))
@@ -448,12 +474,12 @@ def halo_context(spark, sf_dir):
     return vector.context(boxes, boxes.where("box < 3"), 300.0).select("box")
 
 
-@query("""WITH o AS (SELECT o_orderkey, max(o_totalprice) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1), n AS (SELECT o_orderkey, max(o_totalprice) * 2 AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+@query("""WITH o AS (SELECT o_orderkey, max(o_totalprice) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1), n AS (SELECT o_orderkey, max(o_totalprice) * 2 AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1995-07-01' GROUP BY 1)
 SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN n.o_orderkey IS NOT NULL THEN n.v ELSE o.v END AS v FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")
 def incremental_merge(spark, sf_dir):
     orders = V.table(spark, sf_dir, "orders")
     old = orders.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).groupBy("o_orderkey").agg(F.max("o_totalprice").alias("v"))
-    new = orders.where("o_orderkey % 3 = 0").groupBy("o_orderkey").agg((F.max("o_totalprice") * 2).alias("v"))
+    new = orders.where(F.col("o_orderdate") >= F.lit("1995-07-01").cast("timestamp_ntz")).groupBy("o_orderkey").agg((F.max("o_totalprice") * 2).alias("v"))
     return incremental.merge(old, new, "o_orderkey", ["v"])
 
 
@@ -571,8 +597,152 @@ def threshold_json(spark, sf_dir):
     return sinks.nested_thresholds(factor_thresholds(spark, sf_dir))
 
 
-@query("SELECT layer, count(*) AS n FROM (SELECT 'a' AS layer, s_suppkey AS id FROM supplier UNION ALL SELECT 'b', c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY 1")
+@query("SELECT layer, count(*) AS n FROM (SELECT 'a' AS layer, s_suppkey AS id FROM supplier UNION ALL SELECT 'b', c_custkey FROM customer) GROUP BY 1")
 def layer_union(spark, sf_dir):
     a = V.table(spark, sf_dir, "supplier").select(F.lit("a").alias("layer"), F.col("s_suppkey").alias("id"))
-    b = V.table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.lit("b").alias("layer"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"))
+    b = V.table(spark, sf_dir, "customer").select(F.lit("b").alias("layer"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"))
     return scans.union_layers(a, b).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+# --- maintenance and products -------------------------------------------------------------------------------------
+
+_LEVELS = {"detail": "", "mid": "_mid", "far": "_far"}
+_KEYS = "keys AS (SELECT o_orderkey, 'L' || o_orderkey || ['', '_mid', '_far', '_x'][o_orderkey % 4 + 1] || ['', '_t1', '_t3', '_t9', '_t12'][o_orderkey % 5 + 1] || ['', '_p1', '_p10', '_p11', '_p7', '_p'][o_orderkey % 6 + 1] AS key FROM orders)"
+
+
+@query(f"""WITH {_KEYS}, a AS (SELECT o_orderkey, regexp_extract(key, '_p(1|5|7|10)$', 1) AS p, regexp_replace(key, '_p(1|5|7|10)$', '') AS k FROM keys),
+b AS (SELECT *, regexp_extract(k, '_t(1|3|5)$', 1) AS t, regexp_replace(k, '_t(1|3|5)$', '') AS m FROM a)
+SELECT o_orderkey, regexp_replace(m, '(_mid|_far)$', '') AS id, CASE WHEN ends_with(m, '_mid') THEN 'mid' WHEN ends_with(m, '_far') THEN 'far' ELSE 'detail' END AS level, coalesce(nullif(t, '')::INTEGER, 3) AS thickness, coalesce(nullif(p, '')::INTEGER, 7) AS percent FROM b""")
+def tile_keys(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pick = lambda *values: F.array(*map(F.lit, values))[(k % len(values)).cast("int")]
+    keys = V.table(spark, sf_dir, "orders").select(k, F.concat(F.lit("L"), k.cast("string"), pick("", "_mid", "_far", "_x"), pick("", "_t1", "_t3", "_t9", "_t12"), pick("", "_p1", "_p10", "_p11", "_p7", "_p")).alias("key"))
+    parts = C.parse_key(F.col("key"), _LEVELS, (1, 3, 5), (1, 5, 7, 10), 3, 7)
+    return keys.select("o_orderkey", *(c.alias(name) for name, c in parts.items()))
+
+
+@query(f"WITH {V.PIXELS} SELECT tile, r, c, elev > 4 AND NOT swamp AND slope_deg > 3 AS land FROM pixels")
+def land_mask(spark, sf_dir):
+    height = F.when(F.col("slope_deg") > 3, F.col("elev") - 4).otherwise(F.lit(float("nan")))  # unknown on flat cells
+    return V.pixels(spark, sf_dir).select("tile", "r", "c", S.is_land(height, F.col("swamp")).alias("land"))
+
+
+@query(f"WITH {V.PIXELS}, t AS (SELECT DISTINCT tile FROM pixels), k AS (SELECT tile, r // 8 AS br, c // 8 AS bc, bool_and(swamp) AS water FROM pixels WHERE slope_deg > 20 GROUP BY 1, 2, 3) SELECT t.tile, br, bc, coalesce(water, true) AS water FROM t CROSS JOIN (SELECT unnest(range(0, 3)) AS br) CROSS JOIN (SELECT unnest(range(0, 3)) AS bc) LEFT JOIN k USING (tile, br, bc)")
+def water_mosaic(spark, sf_dir):
+    px = V.pixels(spark, sf_dir)
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))
+    frame = px.select("tile").distinct().withColumn("br", F.explode(blocks)).withColumn("bc", F.explode(blocks))
+    known = px.where("slope_deg > 20").groupBy("tile", F.floor(F.col("r") / 8).alias("br"), F.floor(F.col("c") / 8).alias("bc")).agg(F.bool_and("swamp").alias("water"))
+    return raster.mosaic(frame, known, ["tile", "br", "bc"], "water")
+
+
+@query(f"WITH {V.PIXELS}, {SCORED}, v AS (SELECT unnest(['slope', 'dist', 'tie']) AS name, unnest([CASE WHEN NOT swamp THEN s END, d, CASE WHEN rock THEN t END]) AS v FROM scored) SELECT name, count(v) AS n, round(min(v), 9) AS least, round(avg(v), 9) AS mean, round(max(v), 9) AS most FROM v GROUP BY 1")
+def score_summary(spark, sf_dir):
+    nan = F.lit(float("nan"))
+    cells = V.pixels(spark, sf_dir).select(F.when(F.col("swamp"), nan).otherwise(S.slope_score(F.col("slope_deg"))).alias("slope"), S.dist_score(F.col("dist_m")).alias("dist"), F.when(F.col("rock"), S.tiebreak(F.col("slope_deg"), F.col("dist_m"))).otherwise(nan).alias("tie"))
+    return raster.summary(cells, ["slope", "dist", "tie"]).select("name", "n", *(_r(c, 9).alias(c) for c in ("least", "mean", "most")))
+
+
+@query(f"WITH closed AS ({ORACLES['closing']}), {V.PIXELS}, b AS (SELECT tile, count(*) AS cells, count(*) FILTER (swamp) AS before FROM pixels GROUP BY 1), n AS (SELECT tile, count(*) AS after FROM closed GROUP BY 1) SELECT tile, before, coalesce(after, 0) AS after, coalesce(after, 0) - before AS added, round(100.0::DOUBLE * before / cells, 6) AS percent FROM b LEFT JOIN n USING (tile)")
+def closing_summary(spark, sf_dir):
+    before = V.pixels(spark, sf_dir).groupBy("tile").agg(F.count("*").alias("cells"), F.count_if("swamp").alias("before"))
+    after = closing(spark, sf_dir).groupBy("tile").agg(F.count("*").alias("after"))
+    n = F.coalesce("after", F.lit(0))
+    return before.join(after, "tile", "left").select("tile", "before", n.alias("after"), (n - F.col("before")).alias("added"), _r(100 * F.col("before") / F.col("cells")).alias("percent"))
+
+
+_AGED = "aged AS (SELECT event_id, (user_id * 37 % 1000)::DOUBLE AS x, (event_id * 53 % 900)::DOUBLE AS y, (event_id % 90) / 4.0::DOUBLE - 1 AS age FROM events), doses AS (SELECT (user_id % 15)::INTEGER AS age, (event_id % 8)::INTEGER AS r, (event_id // 8 % 10)::INTEGER AS c, round(avg(value), 6) AS dose FROM events GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {_AGED}, k AS (SELECT *, least(round_even(greatest(age, 0), 0), 14)::INTEGER AS day, least(floor((900 - y) / 100), 7)::INTEGER AS r, least(floor((x - 100) / 100), 7)::INTEGER AS c FROM aged WHERE x >= 100 AND x < 900 AND y <= 900 AND y > 100) SELECT event_id, day, k.r, k.c, dose, least(round_even(k.age, 0), 254)::INTEGER AS age_b, round_even(least(dose / 200, 1) * 255, 0)::INTEGER AS conf_b FROM k LEFT JOIN doses d ON d.age = k.day AND d.r = k.r AND d.c = k.c")
+def dose_lookup(spark, sf_dir):
+    ev, e, u = V.table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
+    aged = ev.select(e, (u * 37 % 1000).cast("double").alias("x"), (e * 53 % 900).cast("double").alias("y"), ((e % 90) / 4.0 - 1).alias("age"))
+    doses = ev.groupBy((u % 15).cast("int").alias("age"), (e % 8).cast("int").alias("r"), (F.floor(e / 8) % 10).cast("int").alias("c")).agg(_r(F.avg("value")).alias("dose"))
+    found = series.dose_at(aged, doses, 100.0, 900.0, 100.0, 8, 8, 14)
+    return found.select("event_id", "day", "r", "c", "dose", S.age_byte(F.rint("age")).alias("age_b"), S.confidence_byte(F.least(F.col("dose") / 200, F.lit(1.0))).alias("conf_b"))
+
+
+@query(f"WITH {V.OBS}, x AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM obs), f AS (SELECT day, layer, count(*) AS fresh FROM (SELECT cell, day, layer, row_number() OVER (PARTITION BY cell ORDER BY day, layer) AS rn FROM x) WHERE rn = 1 GROUP BY 1, 2) SELECT day, layer, count(*) AS n, count(DISTINCT cell) AS cells, any_value(coalesce(fresh, 0)) AS fresh FROM x LEFT JOIN f USING (day, layer) GROUP BY 1, 2")
+def coverage(spark, sf_dir):
+    return series.coverage(V.obs(spark, sf_dir), F.date_format("ts", "yyyy-MM-dd"))
+
+
+@query(f"WITH RECURSIVE {_GRID}, reach AS (SELECT id AS a, id AS b FROM g UNION SELECT reach.a, h.id FROM reach JOIN g k ON k.id = reach.b JOIN g h ON abs(h.x - k.x) <= 1 AND abs(h.y - k.y) <= 1), m AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY 1), t AS (SELECT cluster, count(*) AS n, min(x) - 2.0::DOUBLE AS minx, min(y) - 2.0::DOUBLE AS miny, max(x) + 2.0::DOUBLE AS maxx, max(y) + 2.0::DOUBLE AS maxy FROM m JOIN g USING (id) GROUP BY 1) SELECT * FROM t")
+def cluster_boxes(spark, sf_dir):
+    su = V.table(spark, sf_dir, "supplier")
+    cells = su.groupBy(((F.col("s_suppkey") * 7) % 40).alias("x"), ((F.col("s_suppkey") * 11) % 37).alias("y")).agg(F.min("s_suppkey").alias("id"))
+    return vector.cluster_boxes(clusters(spark, sf_dir).join(cells, "id"), 2.0)
+
+
+_MANIFESTS = "o AS (SELECT n_nationkey AS k, n_name AS f FROM nation WHERE n_nationkey < 20), n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'x' ELSE n_name END AS f FROM nation WHERE n_nationkey > 3)"
+
+
+def _manifests(spark, sf_dir):
+    na = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("box"), F.col("n_name").alias("fingerprint"))
+    return na.where("box < 20"), na.where("box > 3").withColumn("fingerprint", F.when(F.col("box") % 5 == 0, "x").otherwise(F.col("fingerprint")))
+
+
+@query(f"""WITH {_MANIFESTS}, e AS (SELECT * FROM o WHERE k > 3), x AS (SELECT 'removed' AS run, n.k AS box, CASE WHEN o.k IS NULL THEN 'added' WHEN o.f <> n.f THEN 'changed' ELSE 'all' END AS state FROM n LEFT JOIN o ON o.k = n.k
+UNION ALL SELECT 'kept', n.k, CASE WHEN e.k IS NULL THEN 'added' ELSE 'changed' END FROM n LEFT JOIN e ON e.k = n.k WHERE e.k IS NULL OR e.f <> n.f) SELECT * FROM x""")
+def recompute_plan(spark, sf_dir):
+    old, new = _manifests(spark, sf_dir)
+    runs = {"removed": old, "kept": old.where("box > 3")}
+    parts = [incremental.to_compute(o, new, "box").select(F.lit(name).alias("run"), "box", "state") for name, o in runs.items()]
+    return parts[0].union(parts[1])
+
+
+@query(f"WITH {_MANIFESTS} SELECT o.k AS box FROM o LEFT JOIN n ON o.k = n.k WHERE n.k IS NULL OR o.f <> n.f")
+def outdated_products(spark, sf_dir):
+    old, new = _manifests(spark, sf_dir)
+    return incremental.outdated(old, new, "box").union(incremental.outdated(old.limit(0), new, "box"))  # a first run drops nothing
+
+
+@query("SELECT o_custkey % 500 AS key, CASE WHEN k THEN total ELSE -total END AS value, k AS cached FROM (SELECT o_custkey % 500 AS o_custkey, round(sum(o_totalprice), 2) AS total, o_custkey % 500 % 3 <> 0 AND o_custkey % 500 % 7 <> 0 AND o_custkey % 500 % 2 = 0 AS k FROM orders GROUP BY o_custkey % 500)")
+def cached_values(spark, sf_dir):
+    totals = V.table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 500).alias("key")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    wanted = totals.select("key", F.lit("v2").alias("fingerprint"))
+    # of the cached values some are absent, some corrupt, and some of an older version
+    cache = totals.where("key % 3 <> 0").select("key", F.when(F.col("key") % 2 == 0, "v2").otherwise("v1").alias("fingerprint"), F.when(F.col("key") % 7 != 0, F.col("value")).alias("value"))
+    return incremental.read_through(wanted, cache, "key", "value", lambda missing: missing.join(totals, "key").withColumn("value", -F.col("value")))
+
+
+@query("SELECT p_partkey FROM part WHERE p_name LIKE 'a%' OR p_name LIKE '%e%' OR p_name LIKE '%n'")
+def matching_files(spark, sf_dir):
+    return incremental.matching(V.table(spark, sf_dir, "part"), "p_name", ("a%", "%e%", "%n")).select("p_partkey")
+
+
+@query("SELECT c_custkey, concat_ws('|', 'v3', c_mktsegment, c_nationkey::VARCHAR, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END) AS fingerprint FROM customer")
+def source_fingerprints(spark, sf_dir):
+    return V.table(spark, sf_dir, "customer").select("c_custkey", incremental.combined("v3", F.col("c_mktsegment"), F.col("c_nationkey"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))).alias("fingerprint"))
+
+
+@query(f"WITH {V.BOXES}, k AS (SELECT unnest(range(-10, 20)) AS b) SELECT box, x.b AS bx, y.b AS by, greatest(minx, x.b * 1000.0::DOUBLE) AS minx, greatest(miny, y.b * 1000.0::DOUBLE) AS miny, least(maxx, (x.b + 1) * 1000.0::DOUBLE) AS maxx, least(maxy, (y.b + 1) * 1000.0::DOUBLE) AS maxy FROM boxes, k x, k y WHERE minx < (x.b + 1) * 1000 AND maxx > x.b * 1000 AND miny < (y.b + 1) * 1000 AND maxy > y.b * 1000")
+def clipped_boxes(spark, sf_dir):
+    return vector.clip_to_blocks(V.boxes(spark, sf_dir), 1000.0).select("box", "bx", "by", "minx", "miny", "maxx", "maxy")
+
+
+@query("SELECT min(l_orderkey * 10 + l_linenumber) AS id, count(*) AS copies FROM lineitem GROUP BY l_suppkey, l_quantity")
+def distinct_geometries(spark, sf_dir):
+    li = V.table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return vector.distinct_geometries(li, "id", F.concat_ws(" ", F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("string")))
+
+
+@query("SELECT p_partkey, concat_ws(',', CASE WHEN trim(b) <> '' THEN 'brand=' || b END, 'size=' || p_size, CASE WHEN trim(t) <> '' THEN 'type=' || t END) AS fields FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN '  ' ELSE p_brand END AS b, CASE WHEN p_partkey % 4 <> 0 THEN p_type END AS t FROM part)")
+def feature_attributes(spark, sf_dir):
+    part, k = V.table(spark, sf_dir, "part"), F.col("p_partkey")
+    kept = vector.attributes({"brand": F.when(k % 3 == 0, "  ").otherwise(F.col("p_brand")), "size": F.col("p_size"), "type": F.when(k % 4 != 0, F.col("p_type"))})
+    return part.select(k, F.array_join(F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("fields"))
+
+
+@query("SELECT n_nationkey, q AS sheet, x0 AS minx, y0 - h * 10.0::DOUBLE AS miny, x0 + w * 10.0::DOUBLE AS maxx, y0 AS maxy FROM (SELECT n_nationkey, n_nationkey::VARCHAR || unnest([1, 2, 3, 4])::VARCHAR AS q, n_nationkey * 100.0::DOUBLE AS x0, 5000.0::DOUBLE - n_nationkey AS y0, 60 + n_nationkey AS w, 50 + n_regionkey AS h FROM nation)")
+def tile_bounds(spark, sf_dir):
+    na, k = V.table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    box = scans.bounds(60 + k, 50 + F.col("n_regionkey"), k * 100.0, 5000.0 - k, F.lit(10.0), F.lit(-10.0))
+    return scans.quarters(na.select(k, box.alias("b")), "n_nationkey").select("n_nationkey", "sheet", "b.*")
+
+
+@query("SELECT c_custkey, floor(100 * (c_custkey % 7) / w + 0.5)::BIGINT AS a, floor(100 * (c_nationkey % 5 + 1) / w + 0.5)::BIGINT AS b FROM (SELECT *, ((c_custkey % 7) + (c_nationkey % 5 + 1))::DOUBLE AS w FROM customer)")
+def factor_shares(spark, sf_dir):
+    shares = S.factor_shares(F.array((F.col("c_custkey") % 7).cast("double"), (F.col("c_nationkey") % 5 + 1).cast("double")))
+    return V.table(spark, sf_dir, "customer").select("c_custkey", shares.alias("s")).select("c_custkey", F.col("s")[0].alias("a"), F.col("s")[1].alias("b"))

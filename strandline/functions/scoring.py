@@ -123,3 +123,23 @@ def within(triple: tuple[Column, Column, Column], low: tuple[int, int, int], hig
     for c, a, z in zip(triple, low, high, strict=True):
         out = out & c.between(a, z)
     return out
+
+
+def is_land(height: Column, water: Column) -> Column:
+    """Above the water level and no water; an unknown height is none (NaN would compare as the greatest number)."""
+    return F.coalesce((F.nanvl(height, F.lit(0.0)) > 0) & ~F.coalesce(water, F.lit(False)), F.lit(False))
+
+
+def confidence_byte(share: Column) -> Column:
+    return F.rint(share * 255).cast("int")
+
+
+def age_byte(days: Column) -> Column:
+    """Age in days; 254 stands for all older, 255 is left for none."""
+    return F.least(days, F.lit(254)).cast("int")
+
+
+def factor_shares(weights: Column) -> Column:
+    """Each weight's share of their sum, in whole percent."""
+    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
+    return F.when(total > 0, F.transform(F.arrays_zip(weights.alias("w"), F.array_repeat(total, F.size(weights)).alias("t")), lambda x: F.floor(100 * x["w"] / x["t"] + 0.5)))

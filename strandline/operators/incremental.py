@@ -68,3 +68,39 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataF
     both = a.select(*keys, F.col(value).alias("x"), F.lit(1).alias("ia")).join(b.select(*keys, F.col(value).alias("y"), F.lit(1).alias("ib")), keys, "full_outer")
     lone = F.col("ia").isNull() | F.col("ib").isNull()
     return both.agg(F.count("*").alias("cells"), F.count_if(lone).alias("alone"), F.count_if(~lone & ~F.col("x").eqNullSafe(F.col("y"))).alias("differing"))
+
+
+def combined(version: str, *sources: Column) -> Column:
+    """Fingerprint of a version and the sources that a product depends on, nulls as empty."""
+    return F.concat_ws("|", F.lit(version), *(F.coalesce(s.cast("string"), F.lit("")) for s in sources))
+
+
+def outdated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Entries whose products are to be dropped: changed or removed ones. A first run, without old entries, drops nothing."""
+    return changed(old, new, key).where("state <> 'added'").select(key)
+
+
+def to_compute(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Entries to compute, with the reason: added and changed ones; all of them as soon as one was removed, for global
+    products hold what it gave."""
+    states = changed(old, new, key)
+    removed = states.agg(F.coalesce(F.bool_or(F.col("state") == "removed"), F.lit(False)).alias("all"))  # one row
+    known = new.select(key).join(states, key, "left").crossJoin(F.broadcast(removed))
+    return known.where(F.col("all") | F.col("state").isNotNull()).select(key, F.coalesce("state", F.lit("all")).alias("state"))
+
+
+def read_through(wanted: DataFrame, cache: DataFrame, key: str, value: str, compute) -> DataFrame:
+    """(key, value, cached) for all of ``wanted (key, fingerprint)``: from the cache where the fingerprint agrees and the value
+    is whole, else from ``compute``, which gets the wanted rows that are missing. A null value counts as missing."""
+    whole = cache.where(F.col(value).isNotNull()).dropDuplicates([key, "fingerprint"])
+    hits = wanted.join(whole.select(key, "fingerprint", value), [key, "fingerprint"])
+    fresh = compute(wanted.join(whole.select(key, "fingerprint"), [key, "fingerprint"], "left_anti"))
+    return hits.select(key, value, F.lit(True).alias("cached")).unionByName(fresh.select(key, value, F.lit(False).alias("cached")))
+
+
+def matching(files: DataFrame, column: str, patterns: tuple[str, ...]) -> DataFrame:
+    """Files that any of the patterns fits, each once; a caller lists them (dry run) or deletes them."""
+    fits = F.lit(False)
+    for p in patterns:
+        fits = fits | F.col(column).like(p)
+    return files.where(fits)

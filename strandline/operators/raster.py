@@ -144,3 +144,14 @@ def label_components(land: DataFrame) -> DataFrame:
         return pd.DataFrame({"tile": pdf.tile.iloc[0], "r": cells[:, 0], "c": cells[:, 1], "component": list(out.values())})
 
     return land.select("tile", "r", "c").groupBy("tile").applyInPandas(run, "tile long, r long, c long, component long")
+
+
+def mosaic(frame: DataFrame, known: DataFrame, keys: list[str], value: str, default: bool = True) -> DataFrame:
+    """``value`` of every cell of ``frame``; cells that nobody knows get the default (unknown is water)."""
+    return frame.select(*keys).join(known.select(*keys, value), keys, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def summary(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n, least, mean, most) of each column, without NaN and null."""
+    stack = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.nanvl(F.col(c), F.lit(None).cast("double")).alias("v")) for c in columns))).alias("s")
+    return cells.select(stack).groupBy("s.name").agg(F.count("s.v").alias("n"), F.min("s.v").alias("least"), F.avg("s.v").alias("mean"), F.max("s.v").alias("most"))

@@ -65,3 +65,20 @@ def time_slices(spark, start: str, end: str, days: int) -> DataFrame:
     """Consecutive slices of a time range, as a paged source wants them."""
     t = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"INTERVAL {days} DAYS"))).alias("begin"))
     return t.select("begin", F.least(F.col("begin") + F.expr(f"INTERVAL {days} DAYS"), F.lit(end).cast("timestamp")).alias("stop")).where("begin < stop")
+
+
+def dose_at(obs: DataFrame, doses: DataFrame, x0: float, y1: float, size: float, rows: int, cols: int, oldest: int) -> DataFrame:
+    """``obs (x, y, age)`` with the dose of their cell at their age in whole days, both clamped to what ``doses (age, r, c, dose)`` has."""
+    inside = obs.where((F.col("x") >= x0) & (F.col("x") < x0 + cols * size) & (F.col("y") <= y1) & (F.col("y") > y1 - rows * size))
+    r = F.least(F.floor((F.lit(y1) - F.col("y")) / size), F.lit(rows - 1)).cast("int")
+    c = F.least(F.floor((F.col("x") - x0) / size), F.lit(cols - 1)).cast("int")
+    day = F.least(F.bround(F.greatest("age", F.lit(0.0))), F.lit(oldest)).cast("int")
+    return inside.withColumns({"r": r, "c": c, "day": day}).join(doses.withColumnRenamed("age", "day"), ["day", "r", "c"], "left")
+
+
+def coverage(obs: DataFrame, day: Column) -> DataFrame:
+    """(day, layer): observations, and cells seen on that day for the first time by any layer."""
+    rows = obs.select("cell", "layer", day.alias("day"))
+    first = rows.groupBy("cell").agg(F.min(F.struct("day", "layer")).alias("first")).groupBy("first.day", "first.layer").agg(F.count("*").alias("fresh"))
+    counts = rows.groupBy("day", "layer").agg(F.count("*").alias("n"), F.countDistinct("cell").alias("cells"))
+    return counts.join(first, ["day", "layer"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))

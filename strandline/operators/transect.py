@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
 from .raster import nearest_seed, window_extreme
 
 
@@ -31,3 +32,25 @@ def prime(cells: DataFrame, shore: Column, value: str, low: int = 1, high: int =
     anchors = by_strip.select("tile", F.col("sr").alias("r"), F.col("sc").alias("c"), value)
     worst = window_extreme(anchors, value, radius).select("tile", F.col("r").alias("sr"), F.col("c").alias("sc"), "m")
     return zone.select("tile", "r", "c", "sr", "sc").join(worst, ["tile", "sr", "sc"]).select("tile", "r", "c", F.col("m").alias(value))
+
+
+COMPONENTS = ("slope", "dist", "rock", "not_swamp")
+
+
+def prime_components(cells: DataFrame, shore: Column, low: int = 1, high: int = 4, percent: int = 10, radius: int = 2) -> DataFrame:
+    """Zone cells with the four strip components of 0 to 1; the zone is found once."""
+    parts = cells.select("tile", "r", "c", S.slope_score(F.col("slope_deg")).alias("slope"), S.dist_score(F.col("dist_m")).alias("dist"), F.col("rock").cast("double").alias("rock"), (~F.col("swamp")).cast("double").alias("not_swamp"))
+    zone = strips(cells, shore, low, high).select("tile", "r", "c", "sr", "sc")
+    rows = zone.join(parts, ["tile", "r", "c"])
+    out = zone
+    for name in COMPONENTS:
+        by_strip = lower_percentile(rows, ["tile", "sr", "sc"], name, percent)
+        anchors = by_strip.select("tile", F.col("sr").alias("r"), F.col("sc").alias("c"), name)
+        worst = window_extreme(anchors, name, radius).select("tile", F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("m").alias(name))
+        out = out.join(worst, ["tile", "sr", "sc"])
+    return out
+
+
+def prime_bytes(components: DataFrame) -> DataFrame:
+    """The components as they are stored: two bytes and two bits."""
+    return components.select("tile", "r", "c", S.byte(F.col("slope")).alias("slope_b"), S.byte(F.col("dist")).alias("dist_b"), (F.col("rock") >= 0.5).alias("rock"), (F.col("not_swamp") < 0.5).alias("swamp"))

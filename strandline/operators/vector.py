@@ -166,3 +166,33 @@ def clusters(cells: DataFrame, most_rounds: int = 200) -> DataFrame:
             return state.select("id", F.col("label").alias("cluster"))
         known = total
     raise RuntimeError("clusters did not settle")
+
+
+def cluster_boxes(members: DataFrame, margin: float) -> DataFrame:
+    """Bounding box of each cluster of ``members (cluster, x, y)``, widened by a margin, and its size."""
+    return members.groupBy("cluster").agg(F.count("*").alias("n"), *((f(F.col(v)) + m).alias(name) for f, v, m, name in ((F.min, "x", -margin, "minx"), (F.min, "y", -margin, "miny"), (F.max, "x", margin, "maxx"), (F.max, "y", margin, "maxy"))))
+
+
+def clip_to_blocks(boxes: DataFrame, size: float) -> DataFrame:
+    """Each box's part in every block that it overlaps, by block keys rather than by comparing all pairs."""
+    rows = by_block(boxes, size)
+    low = lambda b, v: F.greatest(F.col(v), F.col(b) * size)
+    high = lambda b, v: F.least(F.col(v), (F.col(b) + 1) * size)
+    return rows.withColumns({"minx": low("bx", "minx"), "miny": low("by", "miny"), "maxx": high("bx", "maxx"), "maxy": high("by", "maxy")}).where("minx < maxx AND miny < maxy")
+
+
+def distinct_geometries(rows: DataFrame, key: str, geometry: Column) -> DataFrame:
+    """The row with the smallest key of each geometry, told apart by a 128-bit hash of its coordinates."""
+    best = rows.groupBy(F.md5(geometry).alias("_hash")).agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    return best.select(key, "copies")
+
+
+def attributes(fields: dict[str, Column]) -> Column:
+    """Map of the fields that are neither null nor blank."""
+    entries = [x for name, c in fields.items() for x in (F.lit(name), c.cast("string"))]
+    return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull() & (F.trim(v) != ""))
+
+
+def rounded(points: Column, digits: int) -> Column:
+    """Coordinates rounded half to even."""
+    return F.transform(points, lambda p: F.struct(F.bround(p["x"], digits).alias("x"), F.bround(p["y"], digits).alias("y")))

@@ -58,3 +58,19 @@ def series_text(raw: DataFrame, column: str) -> DataFrame:
 def locked(paths: DataFrame, folder: str) -> DataFrame:
     """Paths that have the folder as one of their parts."""
     return paths.where(F.array_contains(F.split("path", "/"), folder))
+
+
+def bounds(width: Column, height: Column, x0: Column, y0: Column, dx: Column, dy: Column) -> Column:
+    """Extent of a raster from its corner, cell size (dy is negative downwards) and shape; needs the metadata only."""
+    far_x, far_y = x0 + width * dx, y0 + height * dy
+    return F.struct(F.least(x0, far_x).alias("minx"), F.least(y0, far_y).alias("miny"), F.greatest(x0, far_x).alias("maxx"), F.greatest(y0, far_y).alias("maxy"))
+
+
+def quarters(tiles: DataFrame, key: str) -> DataFrame:
+    """The four sheets of each tile."""
+    return tiles.withColumn("sheet", F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.concat(F.col(key).cast("string"), k.cast("string")))))
+
+
+def day_layer(spark: SparkSession, path: str, layer: str, day: str) -> DataFrame:
+    """One day's class cells of a layer, from a table partitioned by both; an absent day is an empty table."""
+    return spark.read.parquet(path).where((F.col("layer") == layer) & (F.col("day").cast("string") == day))
