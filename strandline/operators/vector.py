@@ -151,13 +151,13 @@ def corridor_sheets(spark: SparkSession, line: list[tuple[float, float]], width:
     return cells.where(ex * ex + ey * ey <= reach * reach).select("sx", "sy").distinct()
 
 
-def clusters(cells: DataFrame, most_rounds: int = 200) -> DataFrame:
+def clusters(cells: DataFrame) -> DataFrame:
     """8-neighbour components of (x, y) cells: the smallest id reachable, by propagation along equal-key joins until
-    nothing changes. Each round is checkpointed."""
+    nothing changes, however many rounds a long chain takes. Each round is checkpointed."""
     sides = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     state = cells.select("id", "x", "y", F.col("id").alias("label"))
     known = None
-    for _ in range(most_rounds):
+    while True:
         reach = state.select("label", F.explode(sides).alias("o"), "x", "y").select("label", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
         least = reach.groupBy("x", "y").agg(F.min("label").alias("label"))
         state = state.drop("label").join(least, ["x", "y"]).select("id", "x", "y", "label").checkpoint()
@@ -165,7 +165,6 @@ def clusters(cells: DataFrame, most_rounds: int = 200) -> DataFrame:
         if total == known:
             return state.select("id", F.col("label").alias("cluster"))
         known = total
-    raise RuntimeError("clusters did not settle")
 
 
 def cluster_boxes(members: DataFrame, margin: float) -> DataFrame:
