@@ -1,12 +1,11 @@
-"""BPE encoding and decoding through tables of distinct words.
+"""BPE encoding and decoding through a table of the corpus's distinct words.
 
-A text is cut into words at places where the tokenizer always cuts: between a letter and a space that is
-followed by a letter. So each word encodes alone as it does within its text. Each task keeps a table of the
-distinct words it has met (bounded; forgotten and begun anew when full), encodes a word the first time only,
-with the public tokenizer, and joins ids back by position. Decoding joins ids to their pieces' bytes.
-
-The word table belongs to a task rather than to the corpus: a row for each word position shuffled to a global
-table and back would move several times the input (README), while a task's table needs no shuffle at all.
+A text is cut into words at spaces where the tokenizer always cuts: a single space between two characters that are
+neither white nor beyond two bytes of UTF-8. So each word encodes alone as it does within its text. Texts are taken
+in slices of some MB; a slice keeps its distinct words, and for each word position a number among them, packed.
+The slices' words make one table of distinct words, each of which is encoded once with the public tokenizer; joining
+its ids to the table of pieces decodes it. Joined back by word, ids and pieces go to their slices, where the numbers
+put them in place. So the shuffles hold a row for each word of a slice, not for each position.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; strings of special tokens within a
 text become their ids, as in the library; repeated rows are encoded each; an empty table gives an empty table.
@@ -17,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .scratch import Scratch
 
-#: Words of a task's table.
-MOST_WORDS = 400_000
-_LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
-_CUT = re.compile(f"(?<=[{_LETTER}])(?= [{_LETTER}])")
-#: Longer words are encoded, but not kept.
-_LONG = 200
+#: Text bytes of a slice (one text at least).
+SLICE = 6_000_000
+#: Words encoded at a time.
+TOGETHER = 20_000
 
 
 def default_vocabulary() -> str:
@@ -47,121 +44,207 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Codec:
-    """Encoder with a word table, and decoder with a piece table, for one vocabulary file's content."""
-
-    def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        model = json.loads(vocabulary)
-        if model.get("normalizer") is not None or model["pre_tokenizer"].get("add_prefix_space") or model["pre_tokenizer"]["type"] != "ByteLevel":
-            raise ValueError("need a byte-level vocabulary without a normalizer and without a prefix space")
-        alphabet = byte_alphabet()
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [b""] * size
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.pieces[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-        self.table: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        cut = [_CUT.split(t) for t in texts]
-        table = self.table
-        if len(table) > MOST_WORDS:
-            table.clear()
-        fresh = list({w for words in cut for w in words if w not in table})
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(table.__getitem__, words)) for words in cut]
-        for w in fresh:
-            if len(w) > _LONG:
-                del table[w]
-        return out
-
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-
-
-def _prepared(docs: DataFrame, kept: tuple[str, ...], column: str, kind: str):
-    K.small_batches(docs.sparkSession)
-    inner = [f"c{i}" for i in range(len(kept))]
-    df = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner, strict=True)), F.col(f"`{column}`").cast(kind).alias("text"))
-    types = dict(df.dtypes)
-    return df, inner, "".join(f"{x} {types[x]}, " for x in inner)
+def _vocabulary(path: str | None) -> str:
+    with open(path or default_vocabulary(), encoding="utf-8") as f:
+        return f.read()
+
+
+def _tokenizer(vocabulary: str):
+    """The library's tokenizer for the content of a vocabulary file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(vocabulary)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def pieces(vocabulary: str) -> list[bytes]:
+    """The bytes of each id."""
+    model = json.loads(vocabulary)
+    if model.get("normalizer") is not None or model["pre_tokenizer"].get("add_prefix_space") or model["pre_tokenizer"]["type"] != "ByteLevel":
+        raise ValueError("need a byte-level vocabulary without a normalizer and without a prefix space")
+    if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
+        raise ValueError("need added tokens without spaces that leave their surroundings alone")
+    alphabet, tokenizer = byte_alphabet(), _tokenizer(vocabulary)
+    out = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
+    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
+        out[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+    return out
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in order (together they are the texts), and each text's number of words."""
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    lead = (raw >= 0xC3) & (raw <= 0xDF)  # leads of two-byte characters, none of them white
+    plain = (raw > 0x20) & (raw < 0x7F)
+    ends = plain.copy()
+    ends[1:] |= lead[:-1]
+    starts = np.zeros(len(raw) + 1, bool)
+    starts[1:-2] = ends[:-2] & (raw[1:-1] == 0x20) & (plain | lead)[2:]
+    starts[at[:-1][np.diff(at) > 0]] = True
+    begin = np.flatnonzero(starts[: len(raw)])
+    words = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw)).astype(np.int64)), pa.py_buffer(raw.tobytes())])
+    return words, np.diff(np.searchsorted(begin, at))
+
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
-def _per_task(docs: DataFrame, kept: tuple[str, ...], column: str, kind: str, vocabulary: str | None, fields: list[tuple[str, str]], make) -> DataFrame:
-    path = vocabulary or default_vocabulary()
-    with open(path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a few MB, whatever the data
-    df, inner, head = _prepared(docs, kept, column, kind)
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _sliced(digest: bool):
+    """A row for each slice: the documents' columns, numbers of words and text digests, the packed word numbers, the distinct words."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in K.pieces(batch, "text", SLICE):
+                texts = K.strings(piece.column("text"))
+                words, n = cut(texts)
+                distinct, codes = K.coded(words)
+                sha = [hashlib.sha256(t).digest() for t in texts.cast(pa.large_binary()).to_pylist()] if digest else [b""] * len(texts)
+                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                yield pa.RecordBatch.from_arrays([one(piece.column("head")), one(pa.array(n.astype(np.int64))), one(pa.array(sha, pa.binary())), pa.array([_packed(codes)], pa.binary()), one(distinct.cast(pa.string()))], ["heads", "n", "sha", "codes", "words"])
+
+    return run
+
+
+def _encoded_words(shared):
+    def run(batches):
+        tokenizer = _tokenizer(shared.value)
+        for batch in batches:
+            words = batch.column("word")
+            for i in range(0, len(words), TOGETHER):
+                part = words.slice(i, TOGETHER)
+                ids = [e.ids for e in tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+                packed = [np.array(x, "<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32())), pa.array(packed, pa.binary())], ["word", "ids", "packed"])
+
+    return run
+
+
+def word_table(words: DataFrame, scratch: Scratch, vocabulary: str) -> DataFrame:
+    """(word, ids, plain) of each distinct ``word``: its ids packed as little-endian 32-bit integers, and the bytes that
+    they decode to, by a join of ids to pieces."""
+    spark = words.sparkSession
+    shared = spark.sparkContext.broadcast(vocabulary)  # a few MB, whatever the data
+    table = words.distinct().mapInArrow(_encoded_words(shared), "word string, ids array<int>, packed binary").withColumn("w", F.monotonically_increasing_id())
+    table = scratch.table(table, "words")
+    latin = [(i, p.decode("latin-1")) for i, p in enumerate(pieces(vocabulary))]
+    piece = F.broadcast(spark.createDataFrame(latin, "id int, piece string"))  # as long as the vocabulary
+    each = table.select("w", F.posexplode("ids").alias("at", "id")).join(piece, "id")
+    joined = each.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("x"))  # as long as one word
+    plain = joined.select("w", F.encode(F.array_join(F.col("x.piece"), ""), "ISO-8859-1").alias("plain"))
+    return table.join(plain, "w").select("word", F.col("packed").alias("ids"), "plain")
+
+
+def _placed(make, names: list[str]):
+    """Ids and decoded bytes of every document of a slice, from those of its words."""
 
     def run(batches):
-        codec = Codec(shared.value)
         for batch in batches:
-            for piece in K.pieces(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in inner), *make(codec, piece.column("text"))], [*inner, *(f for f, _ in fields)])
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                value = lambda c: row.column(c).flatten()  # noqa: B023, E731
+                heads, n, sha = value("heads"), value("n").to_numpy(zero_copy_only=False), value("sha")
+                at, found = np.concatenate([[0], np.cumsum(n)]), value("found")
+                order = pa.array(np.argsort(found.field("k").to_numpy(zero_copy_only=False)))
+                codes = pa.array(_unpacked(row.column("codes")[0].as_py(), int(at[-1])))
 
-    out = df.mapInArrow(run, head + ", ".join(f"{f} {t}" for f, t in fields))
-    return out.select(*(F.col(x).alias(c) for c, x in zip(kept, inner, strict=True)), *(f for f, _ in fields))
+                def texts(field):
+                    flat = found.field(field).cast(pa.large_binary()).take(order).take(codes)  # noqa: B023
+                    offsets = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1][at]  # noqa: B023
+                    data = flat.buffers()[2]
+                    return offsets, memoryview(data) if data is not None else memoryview(b"")
+
+                out = make(*texts("ids"), *texts("plain"), sha)
+                yield pa.RecordBatch.from_arrays([heads, *out], ["head", *names])
+
+    return run
+
+
+def _lists(offsets: np.ndarray, data) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((offsets // 4).astype(np.int32)), pa.array(np.frombuffer(data, "<i4")[: offsets[-1] // 4]))
+
+
+def _each(offsets: np.ndarray, data):
+    return (data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+
+
+def _decoded_sha(raw):
+    """Digest of decoded bytes; what is no UTF-8 is replaced, as the library does."""
+    return hashlib.sha256(bytes(raw).decode("utf-8", "replace").encode())
+
+
+def _through_words(docs: DataFrame, kept: tuple[str, ...], text_col: str, vocabulary: str | None, fields: list[tuple[str, str]], make, digest: bool = False) -> DataFrame:
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    inner = [f"c{i}" for i in range(len(kept))]
+    head = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner, strict=True)))
+    df = docs.select(head.alias("head"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kind = dict(df.dtypes)["head"]
+    slices = df.mapInArrow(_sliced(digest), f"heads array<{kind}>, n array<long>, sha array<binary>, codes binary, words array<string>")
+    slices = scratch.table(slices.withColumn("slice", F.monotonically_increasing_id()), "slices")
+    pairs = slices.select("slice", F.posexplode("words").alias("k", "word"))
+    table = word_table(pairs.select("word"), scratch, _vocabulary(vocabulary))
+    found = pairs.join(table, "word").groupBy("slice").agg(F.collect_list(F.struct("k", "ids", "plain")).alias("found"))  # a slice's words
+    rows = slices.drop("words").join(found, "slice", "left")
+    out = rows.mapInArrow(_placed(make, [f for f, _ in fields]), f"head {kind}, " + ", ".join(f"{f} {t}" for f, t in fields))
+    return out.select(*(F.col(f"head.{x}").alias(c) for c, x in zip(kept, inner, strict=True)), *(f for f, _ in fields))
 
 
 def encoded(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``kept`` columns, ``n_tokens`` and ``ids``."""
 
-    def make(codec, texts):
-        packed = codec.encode(K.strings(texts).to_pylist())
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-        return [pa.array(np.diff(offsets).astype(np.int64)), ids]
+    def make(offsets, ids, _offsets, _plain, _sha):
+        return [pa.array(np.diff(offsets) // 4), _lists(offsets, ids)]
 
-    return _per_task(docs, kept, text_col, "string", vocabulary, [("n_tokens", "long"), ("ids", "array<int>")], make)
+    return _through_words(docs, kept, text_col, vocabulary, [("n_tokens", "long"), ("ids", "array<int>")], make)
 
 
 def round_trips(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``kept`` columns, ``n_tokens``, ``ids``, SHA-256 of the text decoded from the ids, and whether that is the text encoded."""
 
-    def make(codec, texts):
-        plain = K.strings(texts).to_pylist()
-        packed = codec.encode(plain)
-        back = [codec.decode(p) for p in packed]
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-        digests = [hashlib.sha256(b.encode()).hexdigest() for b in back]
-        return [pa.array(np.diff(offsets).astype(np.int64)), ids, pa.array(digests, pa.string()), pa.array([a == b for a, b in zip(plain, back, strict=True)], pa.bool_())]
+    def make(offsets, ids, plain_offsets, plain, sha):
+        back = [_decoded_sha(raw) for raw in _each(plain_offsets, plain)]
+        same = [b.digest() == a for a, b in zip(sha.to_pylist(), back, strict=True)]
+        return [pa.array(np.diff(offsets) // 4), _lists(offsets, ids), pa.array([b.hexdigest() for b in back], pa.string()), pa.array(same, pa.bool_())]
 
-    return _per_task(docs, kept, text_col, "string", vocabulary, [("n_tokens", "long"), ("ids", "array<int>"), ("decoded_sha256", "string"), ("round_trip", "boolean")], make)
+    return _through_words(docs, kept, text_col, vocabulary, [("n_tokens", "long"), ("ids", "array<int>"), ("decoded_sha256", "string"), ("round_trip", "boolean")], make, True)
+
+
+def round_trip_digests(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``kept`` columns, ``n_tokens``, and SHA-256 of the packed ids and of the text decoded from them."""
+
+    def make(offsets, ids, plain_offsets, plain, _sha):
+        digests = [hashlib.sha256(raw).hexdigest() for raw in _each(offsets, ids)]
+        back = [_decoded_sha(raw).hexdigest() for raw in _each(plain_offsets, plain)]
+        return [pa.array(np.diff(offsets) // 4), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+
+    return _through_words(docs, kept, text_col, vocabulary, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], make)
 
 
 def decoded(ids: DataFrame, kept: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
-    """``kept`` columns and ``text`` of id arrays."""
-    shared = ids.sparkSession.sparkContext.broadcast(open(vocabulary or default_vocabulary(), encoding="utf-8").read())
+    """``kept`` columns and ``text`` of id arrays (null: empty), by a look-up of each id in the table of pieces, within batches."""
+    K.small_batches(ids.sparkSession)
+    shared = ids.sparkSession.sparkContext.broadcast(pieces(_vocabulary(vocabulary)))  # as long as the vocabulary
     inner = [f"c{i}" for i in range(len(kept))]
     df = ids.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner, strict=True)), F.col(f"`{ids_col}`").alias("ids"))
     types = dict(df.dtypes)
 
     def run(batches):
-        codec = Codec(shared.value)
+        table = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            texts = [codec.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            texts = [b"".join(table.take(pa.array(x or [], pa.int64())).to_pylist()).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in inner), pa.array(texts, pa.string())], [*inner, "text"])
 
     out = df.mapInArrow(run, "".join(f"{x} {types[x]}, " for x in inner) + "text string")
     return out.select(*(F.col(x).alias(c) for c, x in zip(kept, inner, strict=True)), "text")
-
-
-def round_trip_digests(docs: DataFrame, kept: tuple[str, ...] = ("doc_id",), text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``kept`` columns, ``n_tokens``, and SHA-256 of the packed ids and of the text decoded from them, in one pass."""
-
-    def make(codec, texts):
-        packed = codec.encode(K.strings(texts).to_pylist())
-        sha = hashlib.sha256
-        return [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array([sha(p).hexdigest() for p in packed], pa.string()), pa.array([sha(codec.decode(p).encode()).hexdigest() for p in packed], pa.string())]
-
-    return _per_task(docs, kept, text_col, "string", vocabulary, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], make)
