@@ -1,11 +1,15 @@
 """BPE encoding and decoding through a table of the corpus's distinct words.
 
-A text is cut into words at spaces where the tokenizer always cuts: a single space between two characters that are
-neither white nor beyond two bytes of UTF-8. So each word encodes alone as it does within its text. Texts are taken
-in slices of some MB; a slice keeps its distinct words, and for each word position a number among them, packed.
-The slices' words make one table of distinct words, each of which is encoded once with the public tokenizer; joining
-its ids to the table of pieces decodes it. Joined back by word, ids and pieces go to their slices, where the numbers
-put them in place. So the shuffles hold a row for each word of a slice, not for each position.
+A text is cut into words where the tokenizer always cuts: before a single space between two characters that are neither
+white nor beyond two bytes of UTF-8, and between an ASCII letter or digit and a common mark. So each word encodes alone
+as it does within its text. Texts are taken in slices of some MB. The distinct words of a slice go, in packed blocks, to
+the buckets of their hashes. A bucket encodes each distinct word of the corpus once, and its blocks go back with ids
+in place of words. The slice's word positions, kept as packed numbers among its words, join the ids by position;
+decoding joins all ids to the table of pieces. What is shuffled is a word for each slice it is in, and a packed number
+for each position.
+
+The slices are cut twice, for their words and for their positions, rather than written in between. So ``docs`` must give
+the same rows in the same order twice, as files do; write the result of a shuffle first. Slices that differ are an error.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; strings of special tokens within a
 text become their ids, as in the library; repeated rows are encoded each; an empty table gives an empty table.
@@ -19,16 +23,20 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Scratch
 
 #: Text bytes of a slice (one text at least).
 SLICE = 6_000_000
 #: Words encoded at a time.
 TOGETHER = 20_000
+#: Buckets of words for each partition of the documents, so that a bucket stays small however many documents there are.
+SPREAD = 4
+_MARKS = b",.;:!?)"
 
 
 def default_vocabulary() -> str:
@@ -65,8 +73,8 @@ def pieces(vocabulary: str) -> list[bytes]:
     model = json.loads(vocabulary)
     if model.get("normalizer") is not None or model["pre_tokenizer"].get("add_prefix_space") or model["pre_tokenizer"]["type"] != "ByteLevel":
         raise ValueError("need a byte-level vocabulary without a normalizer and without a prefix space")
-    if any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
-        raise ValueError("need added tokens without spaces that leave their surroundings alone")
+    if any(set(t["content"].encode()) & {0x20, *_MARKS} or t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
+        raise ValueError("need added tokens without spaces and common marks that leave their surroundings alone")
     alphabet, tokenizer = byte_alphabet(), _tokenizer(vocabulary)
     out = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
@@ -74,6 +82,11 @@ def pieces(vocabulary: str) -> list[bytes]:
     return out
 
 
+_AFTER, _BEFORE = np.zeros(256, bool), np.zeros(256, bool)
+_AFTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_BEFORE[list(_MARKS)] = True
+
+
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order (together they are the texts), and each text's number of words."""
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -86,6 +99,7 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     ends[1:] |= lead[:-1]
     starts = np.zeros(len(raw) + 1, bool)
     starts[1:-2] = ends[:-2] & (raw[1:-1] == 0x20) & (plain | lead)[2:]
+    starts[1:-1] |= _AFTER[raw[:-1]] & _BEFORE[raw[1:]]
     starts[at[:-1][np.diff(at) > 0]] = True
     begin = np.flatnonzero(starts[: len(raw)])
     words = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw)).astype(np.int64)), pa.py_buffer(raw.tobytes())])
@@ -102,71 +116,120 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _sliced(digest: bool):
-    """A row for each slice: the documents' columns, numbers of words and text digests, the packed word numbers, the distinct words."""
+class Slice:
+    """A slice of texts: its distinct words by bucket, and their numbers at all word positions."""
+
+    def __init__(self, texts: pa.Array, n_buckets: int, index: int):
+        words, self.n = cut(texts)
+        distinct, codes = K.coded(words)
+        bucket = (K.hashes(distinct) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.words, self.codes = distinct.take(pa.array(order)), number[codes]
+        self.bucket, self.start = np.unique(bucket[order], return_index=True)
+        digest = xxhash.xxh3_64()
+        for t in texts.cast(pa.large_binary()).to_pylist():
+            digest.update(len(t).to_bytes(8, "little") + t)
+        self.name = f"{TaskContext.get().partitionId()}-{index}-{digest.hexdigest()}"
+
+    def blocks(self) -> pa.RecordBatch:
+        """(slice, bucket, n, lengths, letters) of each bucket."""
+        at = _offsets(self.words)
+        raw = memoryview(self.words.buffers()[2]) if len(self.words) else b""
+        ends = np.append(self.start[1:], len(self.words))
+        lengths = [_packed(np.diff(at[a : b + 1])) for a, b in zip(self.start, ends, strict=True)]
+        letters = [pa.compress(raw[at[a] : at[b]], codec="zstd", asbytes=True) for a, b in zip(self.start, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([self.name] * len(ends)), pa.array(self.bucket), pa.array(ends - self.start), pa.array(lengths, pa.binary()), pa.array(letters, pa.binary())], ["slice", "bucket", "n", "lengths", "letters"])
+
 
+def _offsets(strings: pa.Array) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+
+
+def _slices(batches, n_buckets: int):
+    index = 0
+    for batch in batches:
+        for piece in K.pieces(batch, "text", SLICE):
+            texts = K.strings(piece.column("text"))
+            yield piece, texts, Slice(texts, n_buckets, index)
+            index += 1
+
+
+def _blocks(n_buckets: int):
     def run(batches):
-        for batch in batches:
-            for piece in K.pieces(batch, "text", SLICE):
-                texts = K.strings(piece.column("text"))
-                words, n = cut(texts)
-                distinct, codes = K.coded(words)
-                sha = [hashlib.sha256(t).digest() for t in texts.cast(pa.large_binary()).to_pylist()] if digest else [b""] * len(texts)
-                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                yield pa.RecordBatch.from_arrays([one(piece.column("head")), one(pa.array(n.astype(np.int64))), one(pa.array(sha, pa.binary())), pa.array([_packed(codes)], pa.binary()), one(distinct.cast(pa.string()))], ["heads", "n", "sha", "codes", "words"])
+        for _, _, one in _slices(batches, n_buckets):
+            yield one.blocks()
 
     return run
 
 
-def _encoded_words(shared):
+def _positions(n_buckets: int, digest: bool):
+    """A row for each slice: the documents' columns, numbers of words and text digests, and the packed word numbers."""
+
     def run(batches):
-        tokenizer = _tokenizer(shared.value)
-        for batch in batches:
-            words = batch.column("word")
-            for i in range(0, len(words), TOGETHER):
-                part = words.slice(i, TOGETHER)
-                ids = [e.ids for e in tokenizer.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
-                packed = [np.array(x, "<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.list_(pa.int32())), pa.array(packed, pa.binary())], ["word", "ids", "packed"])
+        for piece, texts, one in _slices(batches, n_buckets):
+            sha = [hashlib.sha256(t).digest() for t in texts.cast(pa.large_binary()).to_pylist()] if digest else [b""] * len(texts)
+            whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([one.name]), whole(piece.column("head")), whole(pa.array(one.n.astype(np.int64))), whole(pa.array(sha, pa.binary())), pa.array([_packed(one.codes)], pa.binary()), pa.array([len(one.words)])],
+                ["name", "heads", "n", "sha", "codes", "distinct"],
+            )
 
     return run
 
 
-def word_table(words: DataFrame, scratch: Scratch, vocabulary: str) -> DataFrame:
-    """(word, ids, plain) of each distinct ``word``: its ids packed as little-endian 32-bit integers, and the bytes that
-    they decode to, by a join of ids to pieces."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)  # a few MB, whatever the data
-    table = words.distinct().mapInArrow(_encoded_words(shared), "word string, ids array<int>, packed binary").withColumn("w", F.monotonically_increasing_id())
-    table = scratch.table(table, "words")
-    latin = [(i, p.decode("latin-1")) for i, p in enumerate(pieces(vocabulary))]
-    piece = F.broadcast(spark.createDataFrame(latin, "id int, piece string"))  # as long as the vocabulary
-    each = table.select("w", F.posexplode("ids").alias("at", "id")).join(piece, "id")
-    joined = each.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("x"))  # as long as one word
-    plain = joined.select("w", F.encode(F.array_join(F.col("x.piece"), ""), "ISO-8859-1").alias("plain"))
-    return table.join(plain, "w").select("word", F.col("packed").alias("ids"), "plain")
+def _encoded_blocks(shared):
+    """Blocks with ids in place of words, in order of buckets; each distinct word of a bucket is encoded once."""
+
+    def run(batches):
+        tokenizer, table, now = _tokenizer(shared.value), {}, None
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if row["bucket"] != now:
+                    table, now = {}, row["bucket"]
+                at = np.concatenate([[0], np.cumsum(_unpacked(row["lengths"], row["n"]))])
+                raw = pa.decompress(row["letters"], int(at[-1]), codec="zstd", asbytes=True)
+                words = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                fresh = [w for w in words if w not in table]
+                for i in range(0, len(fresh), TOGETHER):
+                    part = fresh[i : i + TOGETHER]
+                    for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                        table[w] = np.array(e.ids, "<u4").tobytes()
+                ids = [table[w] for w in words]
+                rows.append((row["slice"], row["bucket"], row["n"], _packed(np.array([len(x) // 4 for x in ids])), _packed(np.frombuffer(b"".join(ids), "<u4"))))
+            names = ["slice", "bucket", "n", "lengths", "ids"]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names)
+
+    return run
 
 
-def _placed(make, names: list[str]):
-    """Ids and decoded bytes of every document of a slice, from those of its words."""
+def _placed(shared, make, names: list[str]):
+    """Ids and decoded bytes of every document of a slice, from the ids of its words."""
 
     def run(batches):
+        table = pa.array(shared.value, pa.large_binary())
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
                 value = lambda c: row.column(c).flatten()  # noqa: B023, E731
                 heads, n, sha = value("heads"), value("n").to_numpy(zero_copy_only=False), value("sha")
-                at, found = np.concatenate([[0], np.cumsum(n)]), value("found")
-                order = pa.array(np.argsort(found.field("k").to_numpy(zero_copy_only=False)))
-                codes = pa.array(_unpacked(row.column("codes")[0].as_py(), int(at[-1])))
-
-                def texts(field):
-                    flat = found.field(field).cast(pa.large_binary()).take(order).take(codes)  # noqa: B023
-                    offsets = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1][at]  # noqa: B023
-                    data = flat.buffers()[2]
-                    return offsets, memoryview(data) if data is not None else memoryview(b"")
-
-                out = make(*texts("ids"), *texts("plain"), sha)
+                found = sorted(value("found").to_pylist(), key=lambda x: x["bucket"])
+                if sum(x["n"] for x in found) != row.column("distinct")[0].as_py():
+                    raise ValueError("the documents came in another order the second time: write them to a table first")
+                lengths = [_unpacked(x["lengths"], x["n"]) for x in found]
+                ids = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x["ids"], int(m.sum())) for x, m in zip(found, lengths, strict=True))]).astype("<u4")
+                offsets = np.concatenate([[0], *lengths]).astype(np.int64).cumsum() * 4
+                words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(ids.tobytes())])
+                at = np.concatenate([[0], np.cumsum(n)])
+                flat = words.take(pa.array(_unpacked(row.column("codes")[0].as_py(), int(at[-1]))))
+                ids_at = _offsets(flat)[at] if at[-1] else at
+                packed = memoryview(flat.buffers()[2])[: ids_at[-1]] if ids_at[-1] else memoryview(b"")
+                plain = table.take(pa.array(np.frombuffer(packed, "<u4")))
+                plain_at = _offsets(plain)[ids_at // 4] if ids_at[-1] else ids_at
+                out = make(ids_at, packed, plain_at, memoryview(plain.buffers()[2]) if ids_at[-1] else packed, sha)
                 yield pa.RecordBatch.from_arrays([heads, *out], ["head", *names])
 
     return run
@@ -186,18 +249,22 @@ def _decoded_sha(raw):
 
 
 def _through_words(docs: DataFrame, kept: tuple[str, ...], text_col: str, vocabulary: str | None, fields: list[tuple[str, str]], make, digest: bool = False) -> DataFrame:
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    K.small_batches(spark)
+    content = _vocabulary(vocabulary)
+    shared, table = spark.sparkContext.broadcast(content), spark.sparkContext.broadcast(pieces(content))  # a few MB, whatever the data
     inner = [f"c{i}" for i in range(len(kept))]
     head = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(x) for c, x in zip(kept, inner, strict=True)))
     df = docs.select(head.alias("head"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = dict(df.dtypes)["head"]
-    slices = df.mapInArrow(_sliced(digest), f"heads array<{kind}>, n array<long>, sha array<binary>, codes binary, words array<string>")
-    slices = scratch.table(slices.withColumn("slice", F.monotonically_increasing_id()), "slices")
-    pairs = slices.select("slice", F.posexplode("words").alias("k", "word"))
-    table = word_table(pairs.select("word"), scratch, _vocabulary(vocabulary))
-    found = pairs.join(table, "word").groupBy("slice").agg(F.collect_list(F.struct("k", "ids", "plain")).alias("found"))  # a slice's words
-    rows = slices.drop("words").join(found, "slice", "left")
-    out = rows.mapInArrow(_placed(make, [f for f, _ in fields]), f"head {kind}, " + ", ".join(f"{f} {t}" for f, t in fields))
+    n_buckets = SPREAD * max(df.rdd.getNumPartitions(), 1)
+    blocks = df.mapInArrow(_blocks(n_buckets), "slice string, bucket long, n long, lengths binary, letters binary")
+    blocks = blocks.repartition("bucket").sortWithinPartitions("bucket")
+    blocks = blocks.mapInArrow(_encoded_blocks(shared), "slice string, bucket long, n long, lengths binary, ids binary")
+    found = blocks.groupBy("slice").agg(F.collect_list(F.struct("bucket", "n", "lengths", "ids")).alias("found"))  # a slice's words
+    rows = df.mapInArrow(_positions(n_buckets, digest), f"name string, heads array<{kind}>, n array<long>, sha array<binary>, codes binary, distinct long")
+    rows = rows.join(found, F.col("name") == F.col("slice"), "left").drop("name", "slice").withColumn("found", F.coalesce("found", F.array()))
+    out = rows.mapInArrow(_placed(table, make, [f for f, _ in fields]), f"head {kind}, " + ", ".join(f"{f} {t}" for f, t in fields))
     return out.select(*(F.col(f"head.{x}").alias(c) for c, x in zip(kept, inner, strict=True)), *(f for f, _ in fields))
 
 

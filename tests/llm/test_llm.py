@@ -248,6 +248,24 @@ def test_bpe_round_trip(spark, docs):
     assert bpe.round_trip_digests(empty(docs)).count() == 0
 
 
+def test_bpe_cuts_where_the_tokenizer_does():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    rng = random.Random(5)
+    parts = ["a", "Bc", " ", " ", "  ", "\n", "\t", "'s", "'ll", "'", ",", ".", "...", "!?", ")", "(", "12", "é", "ñß", "×", "\u0301", "Я", "日本", "\u00a0", "\u3000", "\x1c", "\x85", "<|endoftext|>", "<|", "_", "😀", "ſ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    words, n = bpe.cut(pa.array(texts, pa.large_string()))
+    words, at = words.to_pylist(), 0
+    for text, k in zip(texts, n.tolist(), strict=True):
+        mine = words[at : at + k]
+        at += k
+        assert "".join(mine) == text
+        assert [i for w in mine for i in t.encode(w, add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
+    assert at == len(words) > len(texts)
+
+
 def test_pipeline_encodes_and_decodes(spark, docs):
     from tokenizers import Tokenizer
 
