@@ -41,9 +41,12 @@ def components(edges: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
 
     Beyond ``few`` edges both steps are an aggregation to each node's smallest neighbour and a join back, so a hub with very many
     neighbours is combined before the shuffle and never gathered. Each round is written to the shared folder.
-    Loops and repeated edges are allowed; an empty table gives an empty one.
+    Loops and repeated edges are allowed; an empty table gives an empty one. ``edges`` is read twice, so it should be a written table.
     """
-    star = scratch.table(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = edges.select("a", "b").where("a <> b")
+    if edges.count() <= few:
+        return scratch.table(edges.repartition(1).mapInArrow(_joined, "node long, root long"), "roots")
+    star = scratch.table(edges.distinct(), "edges")
     if star.count() <= few:
         return scratch.table(star.repartition(1).mapInArrow(_joined, "node long, root long"), "roots")
     known = None

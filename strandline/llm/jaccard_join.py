@@ -383,7 +383,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     types = dict(base.dtypes)
     head = ", ".join(f"{x} {types[x]}" for x in inner)
     for seed in range(0, 40, 2):
-        profile = scratch.table(base.mapInArrow(_profile(n, seed, inner), f"{head}, n_shingles long, node long, check long"), "profile")
+        profile = scratch.table(base.mapInArrow(_profile(n, seed, inner), f"{head}, n_shingles long, node long, check long"), "profile", compact=True)
         # one row stands for a node; null ids and repeated ones are told apart by their texts
         first = F.min(F.struct(F.col("c0").isNull().alias("last"), "c0", "digest")).alias("row")
         classes = profile.where("node IS NOT NULL").groupBy("node").agg(first, F.min("check").alias("lo"), F.max("check").alias("hi"))
@@ -396,7 +396,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     volume = profile.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = int(min(20_000, max(32, 2 * volume * (den - num) / (den + num) * 1.7 // 500_000 + 1)))
     met = base.select("text").mapInArrow(_signed(n, seed, banding, buckets), "bucket int, kind int, signs binary, nodes binary")
-    met = scratch.table(met.repartition(buckets, "bucket").mapInArrow(_met, "sign long, node long"), "met")
+    met = scratch.table(met.repartition(buckets, "bucket").mapInArrow(_met, "sign long, node long"), "met", compact=True)
     roots = _roots(base, met, classes, scratch, banding, n, seed)
     least = classes.join(roots, "node").groupBy("root").agg(F.min("least").alias("component"))
     of = classes.join(roots, "node", "left").join(least, "root", "left").select("node", F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("group"))
@@ -414,7 +414,7 @@ def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch
         """Bitmaps, and shingles if asked for, of the nodes, from the texts of the smallest ids that have them."""
         wanted = scratch.table(nodes.join(classes.select("node", "least", F.col("digest").alias("of")), "node"), "wanted")
         texts = base.select("text", "c0", "digest").join(_bounded_ids(wanted, wanted.count()), F.col("c0").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("of"))).select("text", "node")
-        out = scratch.table(texts.mapInArrow(_arrays(n, seed, whole), "node long, n long, bits binary" + ", shingles binary" * whole), "sets")
+        out = scratch.table(texts.mapInArrow(_arrays(n, seed, whole), "node long, n long, bits binary" + ", shingles binary" * whole), "sets", compact=not whole)
         if out.select("node").distinct().count() != out.count():
             out = scratch.table(out.dropDuplicates(["node"]), "sets")
         return out
@@ -428,7 +428,7 @@ def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch
     arrays = found(ends(near), True)
     x = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    links = scratch.table(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_settled(banding), "a long, b long"), "links")
+    links = scratch.table(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_settled(banding), "a long, b long"), "links", compact=True)
     scratch.drop(arrays)
     roots = components(links, scratch)
     at = met.join(roots, "node", "left").select("sign", "node", F.coalesce("root", "node").alias("root"))
@@ -437,9 +437,9 @@ def _roots(base: DataFrame, met: DataFrame, classes: DataFrame, scratch: Scratch
     if met_open.limit(1).count():
         # groups are tiled one by one: joined to families they would grow with the corpus, and tile pairs with the square of that
         members = met_open.select(F.col("hub").alias("family"), "node", "root")
-        may = scratch.table(_across(members, bits, banding, scratch).select(F.col("a").alias("node")).distinct(), "may")
+        may = found(_across(members, bits, banding, scratch).select(F.col("a").alias("node")).distinct(), True)
         if may.limit(1).count():
-            across = scratch.table(_across(members.join(may, "node", "left_semi"), found(may, True), banding, scratch), "across")
+            across = scratch.table(_across(members, may, banding, scratch), "across", compact=True)
             roots = components(links.union(across), scratch)
     return roots
 

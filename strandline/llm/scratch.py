@@ -31,9 +31,11 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and read it back."""
+    def table(self, df: DataFrame, name: str = "t", compact: bool = False) -> DataFrame:
+        """Write ``df`` and read it back; ``compact`` rows are dealt anew to files of the advisory size, for narrow results of many tasks."""
         self.count += 1
+        if compact:
+            df = df.hint("rebalance")
         path = f"{self.root}/{self.count:03d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
