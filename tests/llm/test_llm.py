@@ -370,6 +370,12 @@ def test_lm_scoring(spark, docs):
     assert lm_scoring.score(empty(docs), out).count() == 0
 
 
+def test_lm_model_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lm_scoring.score(docs, langid.held_out(F.col("doc_id"), 10, 0)).where("held_out").agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert rows[0] > 10_000 and rows[2] / rows[0] > rows[1] / rows[0] + 0.01  # log10 a token
+
+
 def test_lm_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     feats, bias = rng.integers(0, lm_scoring.BUCKETS, (3, 4000)), np.zeros(lm_scoring.CLASSES, np.float32)
