@@ -126,6 +126,49 @@ def test_registered_rays_cross_whole_tiles_from_all_land(spark):
             assert got[tile, r, c, b] == march(lands[tile], r, c, dr, dc, 1500, 10.0, 10)
 
 
+def test_rays_across_regions_with_odd_cells(spark, monkeypatch):
+    monkeypatch.setattr(rays, "REGION", 3)
+    rng = random.Random(8)
+    land = {(r, c): float(rng.randint(-3, 9)) for r in range(-20, 20) for c in range(30, 60) if rng.random() < 0.1}
+    rows = [(1, r, c, h) for (r, c), h in land.items()]
+    odd = [(1, *sorted(land)[0], -9.0), (1, None, 31, 5.0), (None, 0, 31, 5.0), (2, 4, 4, None), (2, -400, 4, 7.0)]  # twice, nowhere, unknown height, out of reach
+    table = spark.createDataFrame(rows + odd, "tile long, r long, c long, height double")
+    away = [(1, -25, 45), (1, 3, 3), (1, 3, 3), (3, 0, 0), (1, None, 31), (None, 0, 31)]
+    origins = spark.createDataFrame([(1, *x) for x in sorted(land)[:15]] + away, "tile long, r int, c int")
+    steps = {b["bearing"]: (b["dr"], b["dc"]) for b in rays.bearings(spark).collect()}
+    lands = {1: land, 2: {(4, 4): 0.0, (-400, 4): 7.0}}
+
+    def highest(tile, r, c, d):
+        fetch, _ = march(lands.get(tile, {}), r, c, *d, 30, 10.0, 5)
+        if fetch in (50.0, 300.0):
+            return None
+        at = next(k for k in range(2, 31) if cell(r, c, d, k) in lands[tile] and not all(cell(r, c, d, j) in lands[tile] for j in range(1, k)))
+        return max(lands[tile][x] for j in range(6) if (x := cell(r, c, d, at + j)) in lands[tile])
+
+    def cell(r, c, d, k):
+        return r + round(round(k * d[0], 9)), c + round(round(k * d[1], 9))
+
+    for got, n in ((rays.ray_fetch(origins, table, steps=30, size=10.0, look=5), 15 + len(away)), (rays.ray_fetch(None, table, steps=30, size=10.0, look=5), len(rows) + len(odd))):
+        found = got.collect()
+        assert len(found) == 48 * n
+        for x in found:
+            if None in (x["tile"], x["r"], x["c"]):
+                assert (x["fetch"], x["obstacle"]) == (300.0, 0.0)
+                continue
+            want, _ = march(lands.get(x["tile"], {}), x["r"], x["c"], *steps[x["bearing"]], 30, 10.0, 5)
+            assert x["fetch"] == want
+            if (tall := highest(x["tile"], x["r"], x["c"], steps[x["bearing"]])) is not None:
+                assert x["obstacle"] == tall
+    empty = table.where("false")
+    assert rays.ray_fetch(None, empty, steps=30, size=10.0).count() == 0
+    assert {tuple(x) for x in rays.ray_fetch(origins, empty, steps=30, size=10.0).select("fetch", "obstacle").collect()} == {(300.0, 0.0)}
+
+
+def test_rays_make_no_row_for_each_step(spark):
+    plan = catalog.QUERIES["ray_fetch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "collect_list" not in plan
+
+
 def test_open_water_has_the_known_bias(spark):
     df = rays.bearings(spark).select(F.lit(1).alias("id"), "bearing", F.lit(15000.0).alias("fetch"), F.lit(3.0).alias("obstacle"))
     for r in rays.effective(df, ["id"]).collect():
