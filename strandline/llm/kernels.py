@@ -85,6 +85,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def summed_hashes(distinct: pa.Array) -> np.ndarray:
+    """64-bit hash of each word without a Python call for each: mixed sum of its mixed bytes and their places."""
+    words = distinct.cast(pa.large_string())
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    size = np.diff(at)
+    out = size.astype(np.uint64)
+    if at[-1] > at[0]:
+        raw = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]]
+        begin = at[:-1] - at[0]
+        spot = np.arange(len(raw)) - np.repeat(begin, size)
+        full = size > 0
+        out[full] += np.add.reduceat(mix((spot.astype(np.uint64) << np.uint64(8)) + raw + np.uint64(1)), begin[full])
+    return mix(out)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` text bytes (one row at least), so that memory stays bounded; what a slice has
     used goes back before the next one."""

@@ -6,10 +6,12 @@ broadcast, the others are joined on the word and summed back by row.
 
 Model: P(word | history) = P(class | history) P(word | class). Classes: the end, the ``TOP`` most frequent words
 one each, and the others by a hash of their last two characters. P(class | history) is a softmax over hashed
-features: the last word, the last two, and the last but one (skip). It is trained by distributed gradient updates:
-in each round every task runs AdaGrad over its share of the training documents, each document in one round, and
-the tasks' weights are averaged by tokens, in blocks. P(word | class) is the smoothed share of the class's counts
-with one unseen word for each class. So probabilities over seen words and one unseen word a class sum to one.
+features: the last word, the last two, and the last but one (skip), in a table that grows with the training tokens.
+It is trained by distributed gradient updates: in each round every task runs AdaGrad over its share of the training
+documents, and the tasks' weights and squares are averaged by tokens, in blocks; the next round goes on from both, over
+all training documents again. There are two tasks a core, so what they send grows as the table does. P(word | class) is
+the smoothed share of the class's counts with one unseen word for each class. So probabilities over seen words and one
+unseen word a class sum to one.
 
 Defined cases: a null or empty text is one end token; a null id is learned from and not held out; repeated rows
 count and are scored each; without training documents all counts are 0; an empty table gives an empty table;
@@ -34,7 +36,8 @@ from .scratch import Scratch
 FREQUENT = 2e-6
 TOP, HASHED = 15, 8
 CLASSES = 1 + TOP + HASHED
-BUCKETS, BLOCK = 1 << 14, 1024
+#: Feature buckets: one for so many training tokens, BUCKETS at least.
+TOKENS, BUCKETS, BLOCK = 8192, 1 << 14, 1024
 ROUNDS, BATCH, RATE, SALTS = 2, 16_384, 0.1, 32
 #: Stands for the end; no word holds a space.
 END = " "
@@ -47,7 +50,23 @@ def class_of(word: str, top: dict[str, int]) -> int:
     return top.get(word) or 1 + TOP + zlib.crc32(word[-2:].encode()) % HASHED
 
 
-def sequences(texts: pa.Array, top: dict[str, int]):
+def classes_of(distinct: pa.Array, top: dict[str, int]) -> np.ndarray:
+    """``class_of`` each word, with one call for each different pair of last characters."""
+    if not len(distinct):
+        return np.zeros(0, np.int64)
+    words = distinct.cast(pa.large_string())
+    ends, codes = K.coded(pc.utf8_slice_codeunits(words, -2))
+    out = np.array([1 + TOP + zlib.crc32(e.encode()) % HASHED for e in ends.to_pylist()], np.int64)[codes]
+    own = pc.fill_null(pc.index_in(words, value_set=pa.array(list(top), pa.large_string())), -1).to_numpy(zero_copy_only=False)
+    numbers = np.array([*top.values(), 0], np.int64)[own]
+    return np.where(numbers > 0, numbers, np.where(pc.equal(words, END).to_numpy(zero_copy_only=False), 0, out))
+
+
+def buckets_for(tokens: int) -> int:
+    return max(BUCKETS, -(-tokens // (TOKENS * BLOCK)) * BLOCK)
+
+
+def sequences(texts: pa.Array, top: dict[str, int], buckets: int = BUCKETS):
     """(distinct words, codes, first word of each text, class and three features of every token, text of every token)."""
     flat, at = K.split(texts, K.SPACED)
     distinct, codes = K.coded(flat)
@@ -56,19 +75,20 @@ def sequences(texts: pa.Array, top: dict[str, int]):
     word = np.arange(len(doc)) - doc  # place among the words; an end takes the next text's
     last = np.zeros(len(doc), bool)
     last[np.cumsum(n + 1) - 1] = True
-    names = distinct.to_pylist()
-    cls, h = np.array([class_of(w, top) for w in names], np.int64), K.hashes(distinct)
-    klass, seq = np.zeros(len(doc), np.int64), np.full(len(doc), _END)
+    cls, h = classes_of(distinct, top), K.summed_hashes(distinct)
+    klass, place = np.zeros(len(doc), np.int64), np.full(len(doc), len(h))  # behind the words: the end, the beginning
     inner = codes[word[~last]] if len(codes) else np.zeros(0, np.int64)
-    klass[~last], seq[~last] = cls[inner], h[inner]
-    before = [np.full(len(doc), _BEGIN), np.full(len(doc), _BEGIN)]
+    klass[~last], place[~last] = cls[inner], inner
+    h = np.append(h, [_END, _BEGIN])
+    before = [np.full(len(doc), len(h) - 1), np.full(len(doc), len(h) - 1)]
     for k in (1, 2):
-        same = np.zeros(len(doc), bool)
-        same[k:] = doc[k:] == doc[:-k]
-        before[k - 1][same] = seq[np.flatnonzero(same) - k]
+        same = np.flatnonzero(doc[k:] == doc[:-k])
+        before[k - 1][same + k] = place[same]
     a, b = before
-    mask = np.uint64(BUCKETS - 1)
-    feats = np.stack([K.mix(a + np.uint64(1)) & mask, K.mix(K.mix(b) * np.uint64(3) + a + np.uint64(2)) & mask, K.mix(b + np.uint64(3)) & mask]).astype(np.int64)
+    n = np.uint64(buckets)
+    alone, skip = ((K.mix(h + np.uint64(x)) % n).astype(np.int64) for x in (1, 3))
+    pair = K.mix((K.mix(h) * np.uint64(3))[b] + h[a] + np.uint64(2)) % n
+    feats = np.stack([alone[a], pair.astype(np.int64), skip[b]])
     return distinct, codes, at, klass, feats, doc
 
 
@@ -94,10 +114,16 @@ def update(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, feats: np.ndarr
     g = _softmax(w, bias, feats)
     g[np.arange(len(g)), klass] -= 1
     f = feats.ravel()
-    order = np.argsort(f.astype(np.uint16) if BUCKETS <= 1 << 16 else f, kind="stable")  # short integers are sorted by radix
+    order = np.argsort(f.astype(np.uint16), kind="stable")  # short integers are sorted by radix
+    if len(w) > 1 << 16:
+        order = order[np.argsort((f >> 16).astype(np.uint16)[order], kind="stable")]
     fs = f[order]
     first = np.flatnonzero(np.concatenate([[True], fs[1:] != fs[:-1]]))
-    total = np.add.reduceat(g[order % g.shape[0]], first)
+    size = np.diff(first, append=len(fs))
+    owner = order % g.shape[0]
+    total, many = g[owner[first]], size > 1  # most features are met once
+    if many.any():
+        total[many] = np.add.reduceat(g[owner[np.repeat(many, size)]], np.cumsum(size[many]) - size[many])
     rows = fs[first]
     squares[rows] += total * total
     w[rows] -= rate * total / np.sqrt(squares[rows] + 1e-6)
@@ -115,7 +141,7 @@ def _counted(batches):
 def _class_sums(top: dict[str, int]):
     def run(batches):
         for batch in batches:
-            k = np.array([class_of(x, top) for x in batch.column("word").to_pylist()], np.int64)
+            k = classes_of(batch.column("word"), top)
             c = batch.column("c").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(np.bincount(k, c, CLASSES).astype(np.int64)), pa.array(np.bincount(k, minlength=CLASSES).astype(np.int64))], ["k", "n", "v"])
 
@@ -124,21 +150,18 @@ def _class_sums(top: dict[str, int]):
 
 def _trained(shared):
     def run(batches):
-        top, bias, start = shared.value
-        w, squares, seen = start.copy(), np.zeros_like(start), 0
+        top, bias, start, state = shared.value
+        w, squares, seen = start.copy(), state.copy(), 0
         for batch in batches:
             for piece in K.pieces(batch, "text"):
-                _, _, _, klass, feats, _ = sequences(K.strings(piece.column("text")), top)
+                _, _, _, klass, feats, _ = sequences(K.strings(piece.column("text")), top, len(w))
                 for i in range(0, len(klass), BATCH):
                     update(w, squares, bias, feats[:, i : i + BATCH], klass[i : i + BATCH])
                 seen += len(klass)
-        if seen:
-            salt = TaskContext.get().partitionId() % SALTS
-            blocks = BUCKETS // BLOCK
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(blocks), pa.int32()), pa.array([salt] * blocks, pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array([(w[b * BLOCK : (b + 1) * BLOCK] * np.float32(seen)).tobytes() for b in range(blocks)], pa.binary())],
-                ["block", "salt", "tokens", "sums"],
-            )
+        salt = TaskContext.get().partitionId() % SALTS
+        for b in range(0, len(w) if seen else 0, BLOCK):
+            raw = np.concatenate([w[b : b + BLOCK], squares[b : b + BLOCK]]) * np.float32(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([b // BLOCK], pa.int32()), pa.array([salt], pa.int32()), pa.array([seen], pa.int64()), pa.array([raw.tobytes()], pa.binary())], ["block", "salt", "tokens", "sums"])
 
     return run
 
@@ -148,7 +171,7 @@ def _added(batches):
     sums: dict[tuple[int, int], list] = {}
     for batch in batches:
         for block, salt, tokens, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "tokens", "sums")), strict=True):
-            s = sums.setdefault((block, salt), [0, np.zeros(BLOCK * CLASSES, np.float64)])
+            s = sums.setdefault((block, salt), [0, np.zeros(2 * BLOCK * CLASSES, np.float64)])
             s[0] += tokens
             s[1] += np.frombuffer(raw, np.float32)
     if sums:
@@ -158,19 +181,21 @@ def _added(batches):
 _SUMS = "block int, salt int, tokens long, sums binary"
 
 
-def _weights(training: DataFrame, top: dict[str, int], bias: np.ndarray) -> np.ndarray:
-    """Class weights; a round's result has BUCKETS * CLASSES numbers, whatever the data."""
-    w = np.zeros((BUCKETS, CLASSES), np.float32)
-    turn = F.pmod(F.xxhash64("text", F.lit("round")), F.lit(ROUNDS))
-    for r in range(ROUNDS):
-        shared = training.sparkSession.sparkContext.broadcast((top, bias, w))
-        sums = training.where(turn == r).select("text").mapInArrow(_trained(shared), _SUMS)
+def _weights(training: DataFrame, top: dict[str, int], bias: np.ndarray, buckets: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Class weights and their sums of squared gradients, after ``rounds`` over all of ``training``."""
+    w = np.zeros((buckets, CLASSES), np.float32)
+    squares = np.zeros_like(w)
+    sc = training.sparkSession.sparkContext
+    for _ in range(rounds):
+        shared = sc.broadcast((top, bias, w, squares))
+        sums = training.select("text").coalesce(2 * sc.defaultParallelism).mapInArrow(_trained(shared), _SUMS)
         sums = sums.repartition("block", "salt").mapInArrow(_added, _SUMS)
         sums = sums.withColumn("salt", F.lit(0)).repartition("block").mapInArrow(_added, _SUMS)
+        w, squares = w.copy(), squares.copy()
         for row in sums.collect():
-            b = row["block"]
-            w[b * BLOCK : (b + 1) * BLOCK] = (np.frombuffer(row["sums"], np.float32) / row["tokens"]).reshape(BLOCK, CLASSES)
-    return w
+            b = row["block"] * BLOCK
+            w[b : b + BLOCK], squares[b : b + BLOCK] = (np.frombuffer(row["sums"], np.float32) / np.float32(row["tokens"])).reshape(2, BLOCK, CLASSES)
+    return w, squares
 
 
 def _scored(shared, carried: list[str]):
@@ -179,7 +204,7 @@ def _scored(shared, carried: list[str]):
         known = pa.array(frequent, pa.large_string())
         for batch in batches:
             for piece in K.pieces(batch, "text"):
-                distinct, codes, at, klass, feats, doc = sequences(K.strings(piece.column("text")), top)
+                distinct, codes, at, klass, feats, doc = sequences(K.strings(piece.column("text")), top, len(w))
                 n_docs = piece.num_rows
                 part = log_probabilities(w, bias, feats, klass) - denominators[klass]
                 score = np.bincount(doc, part, n_docs)
@@ -214,7 +239,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     for r in counts.mapInArrow(_class_sums(top), "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         n_k[r["k"]], v_k[r["k"]] = r["n"], r["v"]
     bias = np.log((n_k + 0.5) / (n_k + 0.5).sum()).astype(np.float32)
-    w = _weights(training, top, bias)
+    w, _ = _weights(training, top, bias, buckets_for(n))
     common = counts.where((F.col("word") != END) & (F.col("c") >= max(1.0, FREQUENT * n))).toArrow()  # at most 1 / FREQUENT words
     words, logs = common.column("word").to_pylist(), np.log10(common.column("c").to_numpy().astype(float) + 0.1)
     shared = spark.sparkContext.broadcast((top, bias, w, words, logs, np.log10(n_k + 0.1 * (v_k + 1))))

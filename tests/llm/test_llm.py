@@ -8,11 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import bpe, decontaminate, graph, hamming_topk, jaccard_join, langid, lm_scoring, pii, queries, sharding, toxicity, url_filter
+from strandline.llm import bpe, decontaminate, graph, hamming_topk, jaccard_join, kernels, langid, lm_scoring, pii, queries, sharding, toxicity, url_filter
 from strandline.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -388,6 +389,72 @@ def test_lm_gradient_lowers_the_loss():
     assert lm_scoring.log_probabilities(w, bias, feats, klass).mean() > before + 0.5
 
 
+def test_lm_table_grows_with_the_training_tokens(spark, docs, monkeypatch):
+    assert [lm_scoring.buckets_for(n) for n in (0, 1 << 27, 1 << 28, 60 << 28)] == [1 << 14, 1 << 14, 1 << 15, 60 << 15]
+    monkeypatch.setattr(lm_scoring, "TOKENS", 1)
+    sizes, real = [], lm_scoring._weights
+    monkeypatch.setattr(lm_scoring, "_weights", lambda *args: sizes.append(args[3]) or real(*args))
+    assert all(r["score"] < 0 for r in lm_scoring.score(docs, langid.held_out(F.col("doc_id"), 10, 0)).collect())
+    assert sizes[0] > 1 << 14
+
+
+def test_lm_rounds_go_on_from_weights_and_squares_over_all_texts(spark):
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(60)) for i in range(40)]
+    bias = np.zeros(lm_scoring.CLASSES, np.float32)
+    got, state = lm_scoring._weights(spark.createDataFrame([(t,) for t in texts], "text string").repartition(1), {"w0": 1}, bias, lm_scoring.BUCKETS, 3)
+    w, squares = np.zeros((lm_scoring.BUCKETS, lm_scoring.CLASSES), np.float32), np.zeros((lm_scoring.BUCKETS, lm_scoring.CLASSES), np.float32)
+    _, _, _, klass, feats, _ = lm_scoring.sequences(pa.array(texts, pa.large_string()), {"w0": 1})
+    for _ in range(3):
+        lm_scoring.update(w, squares, bias, feats, klass)
+    assert np.allclose(got, w, atol=1e-4) and np.allclose(state, squares, rtol=1e-3, atol=1e-4) and np.abs(w).max() > 0.1
+
+
+def test_lm_score_token_by_token(spark, docs, monkeypatch):
+    seen, real = [], lm_scoring._weights
+    monkeypatch.setattr(lm_scoring, "_weights", lambda training, top, bias, *rest: seen.append((top, bias, real(training, top, bias, *rest))) or seen[-1][2])
+    out = langid.held_out(F.col("doc_id"), 10, 0)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 2)) for r in lm_scoring.score(docs, out).collect())
+    top, bias, (w, _) = seen[0]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    c = collections.Counter(x for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10 for x in [*words(t), lm_scoring.END])
+    n, v = collections.Counter(), collections.Counter()
+    for x, k in c.items():
+        n[lm_scoring.class_of(x, top)] += k
+        v[lm_scoring.class_of(x, top)] += 1
+    want = []
+    for i, t in rows:
+        total, tokens = 0.0, [*words(t), lm_scoring.END]
+        _, _, _, _, feats, _ = lm_scoring.sequences(pa.array([t or ""], pa.large_string()), top)
+        for x, f in zip(tokens, feats.T, strict=True):
+            k, z = lm_scoring.class_of(x, top), w[f].sum(axis=0, dtype=float) + bias
+            total += z[k] / math.log(10) - math.log10(np.exp(z).sum()) + math.log10((c[x] + 0.1) / (n[k] + 0.1 * (v[k] + 1)))
+        want.append((str(i), len(tokens), total))
+    for (i, m, score), (j, tokens, total) in zip(got, sorted((i, m, round(x, 2)) for i, m, x in want), strict=True):
+        assert (i, m) == (j, tokens) and math.isclose(score, total, rel_tol=1e-4, abs_tol=0.03)
+
+
+def test_lm_update_adds_up_repeated_features():
+    rng = np.random.default_rng(4)
+    size = 70_000  # more than short integers number
+    w, bias = rng.normal(size=(size, lm_scoring.CLASSES)).astype(np.float32), np.zeros(lm_scoring.CLASSES, np.float32)
+    feats, klass = np.concatenate([rng.integers(0, size, (3, 300)), rng.integers(65_530, 65_545, (3, 300))], axis=1), rng.integers(0, lm_scoring.CLASSES, 600)
+    g, total = lm_scoring._softmax(w, bias, feats), np.zeros_like(w)
+    g[np.arange(600), klass] -= 1
+    for f in feats:
+        np.add.at(total, f, g)
+    squares = np.ones_like(w)
+    want = w - lm_scoring.RATE * total / np.sqrt(1 + total * total + 1e-6)
+    lm_scoring.update(w, squares, bias, feats, klass)
+    assert np.allclose(w, want, atol=1e-4) and np.allclose(squares, 1 + total * total, rtol=1e-3)
+
+
+def test_lm_classes_and_hashes_of_words():
+    texts = pa.array(["a", "ab", "ba", "the", "é", "日本語", lm_scoring.END, "xthe"], pa.large_string())
+    assert lm_scoring.classes_of(texts, {"the": 1, "é": 2}).tolist() == [lm_scoring.class_of(x, {"the": 1, "é": 2}) for x in texts.to_pylist()]
+    h = kernels.summed_hashes(texts)
+    assert len(set(h.tolist())) == len(texts) and kernels.summed_hashes(texts.slice(2, 3)).tolist() == h[2:5].tolist()
+
+
 def shingles(text, n):
     w = words(text)
     return frozenset([tuple(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)] if w else [])
